@@ -26,11 +26,11 @@ def count_both_levels(obs: DataFrame, size_ms: int = MINUTE_MS) -> DataFrame:
     Rows carry the ``level`` they belong to. The finer level groups by the
     formatted name, which is what the re-keyed count groups by.
     """
-    window = window_key(obs, size_ms)
+    key = F.col("key")
     keyed = obs.select(
-        window,
-        F.col("key").alias("device"),
-        F.col("key").withField("ep", record.ep_path(F.col("key"), F.col("value"))).alias("resource"),
+        window_key(obs, size_ms),
+        key.alias("device"),
+        key.withField("ep", record.ep_path(key, F.col("value"))).alias("resource"),
     )
     by = F.col(WINDOW if obs.isStreaming else START)
     counted = keyed.groupingSets(

@@ -41,10 +41,10 @@ def earlier_chunks(by: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*by).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def join_carry(rows: DataFrame, carry: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Attach a chunk's carry; the first chunk of a key has none.
+def join_carry(scanned: DataFrame, carry: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Attach what came before a chunk; the first chunk of a key has no carry.
 
-    ``rows`` are already partitioned and sorted by ``by`` and the chunk after
-    the scan, so only the small carry side moves.
+    The scan left the records partitioned and sorted by ``by`` and the chunk, so
+    only the small carry side moves.
     """
-    return rows.join(carry, [*by, CHUNK], "left")
+    return scanned.join(carry, [*by, CHUNK], "left")

@@ -25,14 +25,12 @@ EVENTS = T.StructType(
 def read_events(
     spark: SparkSession, sf_dir: str, streaming: bool = False, **options: str
 ) -> DataFrame:
-    """The ``events`` table as a batch or a file stream."""
+    """The ``events`` table, one file or a folder of files, as a batch or a file stream."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     if streaming:
-        return (
-            spark.readStream.schema(EVENTS)
-            .options(pathGlobFilter="events.parquet", **options)
-            .parquet(sf_dir)
-        )
+        # A file stream takes a single file only by pattern.
+        path = f"{sf_dir}/events.parque[t]"
+        return spark.readStream.schema(EVENTS).options(**options).parquet(path)
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
@@ -59,21 +57,28 @@ def observations(events: DataFrame, time: Column | None = None, *more: str) -> D
     arrival offset, so rows of one device arrive in offset order.
     """
     device = F.col("user_id") % DEVICES
+    name = F.concat(F.lit("ep-"), F.lpad(device.cast("string"), 2, "0"))
     whole = F.col("event_type").isin("click", "view")
-    path = F.concat(F.lit("/"), F.col("event_type"))
-    count = F.get_json_object("props", "$.k").cast("bigint")
-    reading = F.struct(
-        F.when(whole, count).alias("lng"), F.when(~whole, F.col("value")).alias("dbl")
+    # Named first and nested second: a reader of two fields then computes only those.
+    flat = events.select(
+        F.struct(name.alias("ep")).alias("key"),
+        (fast_ms() if time is None else time).alias("timestamp"),
+        F.concat(F.lit("/"), F.col("event_type")).alias("path"),
+        F.when(whole, F.get_json_object("props", "$.k").cast("bigint")).alias("lng"),
+        F.when(~whole, F.col("value")).alias("dbl"),
+        (device % PARTITIONS).cast("int").alias("part"),
+        F.col("event_id").alias("off"),
+        *more,
     )
-    content = F.struct(path.alias("path"), reading.alias("value"))
-    return events.select(
-        F.struct(F.format_string("ep-%02d", device).alias("ep")).alias("key"),
+    content = F.struct("path", F.struct("lng", "dbl").alias("value"))
+    return flat.select(
+        "key",
         F.struct(
-            (fast_ms() if time is None else time).alias("timestamp"),
-            path.alias("path"),
+            "timestamp",
+            "path",
             F.struct(F.struct(content.alias("content")).alias("body")).alias("rep"),
         ).alias("value"),
-        (device % PARTITIONS).cast("int").alias("part"),
-        F.col("event_id").alias("off"),
+        "part",
+        "off",
         *more,
     )

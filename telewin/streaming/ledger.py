@@ -69,7 +69,8 @@ def count_exactly(
 ) -> StreamingQuery:
     """Keep exact counts per key and window of a stream of valid records."""
     each = partial(_each, path=path, size_ms=size_ms, part=part, reduce=_counts)
-    return to_batches(obs, each, name, checkpoint, **{"mode": "append", **run})
+    narrow = obs.select(*dict.fromkeys(["key", "part", part, "off", "ts_ms"]))
+    return to_batches(narrow, each, name, checkpoint, **{"mode": "append", **run})
 
 
 def max_exactly(
