@@ -13,5 +13,8 @@ TABLE_KEY = ("key", START, END)
 def latest(updates: DataFrame, by: Sequence[str] = TABLE_KEY, version: str = BATCH) -> DataFrame:
     """The last update per windowed key, reduced before the shuffle."""
     rest = [c for c in updates.columns if c not in (*by, version)]
+    if len(rest) == 1:
+        # A lone column of fixed width is compared in a hash table, without sorting.
+        return updates.groupBy(*by).agg(F.max_by(rest[0], version).alias(rest[0]))
     last = updates.groupBy(*by).agg(F.max_by(F.struct(*rest), version).alias("last"))
     return last.select(*by, "last.*")

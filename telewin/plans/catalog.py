@@ -37,8 +37,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 # Fixed values the oracle repeats.
 OUTPUT_TOPIC = "analytics.server1.observations.maxper30sec"
 OUTPUT_PARTITIONS = 8
-SLICES = 4
-SLICE_MS = 8 * 24 * 60 * MINUTE_MS
+SLICES = 3
+SLICE_MS = 10 * 24 * 60 * MINUTE_MS
 
 DAY_ZERO = tables.VIEW_START_MS
 

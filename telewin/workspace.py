@@ -8,19 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared directory the session names.
+def shared_base(spark: SparkSession) -> str:
+    """The shared folder the session names, by setting or by ``setCheckpointDir``.
 
     Only a local master may fall back to a temporary folder: on a cluster the
     executors and a restarted driver would not see it.
     """
-    base = spark.conf.get(CHECKPOINT_CONF, None)
+    context = spark.sparkContext
+    base = spark.conf.get(CHECKPOINT_CONF, None) or context.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="telewin-")
-        spark.conf.set(CHECKPOINT_CONF, base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="telewin-"))
+        base = context.getCheckpointDir()
+    return base.rstrip("/")
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared folder."""
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, path: str | None = None, name: str = "stage") -> DataFrame:

@@ -16,7 +16,7 @@ from telewin.sources.topics import read_topic, topic_options
 from telewin.streaming.run import finish
 from telewin.streaming.tables import read_updates, to_table
 from telewin.streaming.topics import read_topic_rows, topic_rows
-from telewin.workspace import stage, work_dir
+from telewin.workspace import shared_base, stage, work_dir
 
 
 def topic_of(spark, rows):
@@ -159,10 +159,36 @@ def test_a_missing_connector_is_named(spark, streaming):
         read_topic(spark, "localhost:9092", "t", streaming=streaming)
 
 
-def test_work_goes_to_the_folder_the_session_names(spark):
-    base = spark.conf.get("spark.checkpoint.dir")
-    first, second = work_dir(spark, "x"), work_dir(spark, "x")
-    assert first.startswith(base) and first != second
+class Session:
+    """The parts of a session that name the shared folder."""
+
+    def __init__(self, master, setting=None, checkpoint_dir=None):
+        self.master, self.folder, self.setting = master, checkpoint_dir, setting
+        self.conf = self.sparkContext = self
+
+    def get(self, name, default):
+        assert name == "spark.checkpoint.dir"
+        return self.setting or default
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+def test_work_goes_to_the_folder_the_session_names():
+    session = Session("yarn", "hdfs://n/shared/", "hdfs://other")
+    first, second = work_dir(session, "x"), work_dir(session, "x")
+    assert first.startswith("hdfs://n/shared/x-") and first != second
+    assert work_dir(Session("yarn", None, "hdfs://set"), "x").startswith("hdfs://set/x-")
+
+
+def test_only_a_local_master_may_use_a_temporary_folder():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_base(Session("spark://host:7077"))
+    session = Session("local[2]")
+    assert shared_base(session) == shared_base(session) == session.folder
 
 
 def test_staged_tables_keep_rows_and_types(spark):
