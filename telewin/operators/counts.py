@@ -20,7 +20,9 @@ def count_by_window(obs: DataFrame, size_ms: int = MINUTE_MS) -> DataFrame:
     return counted.select("key", *window_bounds(counted, size_ms), "n")
 
 
-def count_both_levels(obs: DataFrame, size_ms: int = MINUTE_MS) -> DataFrame:
+def count_both_levels(
+    obs: DataFrame, size_ms: int = MINUTE_MS, on_bad: str = "null"
+) -> DataFrame:
     """Counts per key and per key and resource from one read of the source.
 
     Rows carry the ``level`` they belong to. The finer level groups by the
@@ -30,7 +32,7 @@ def count_both_levels(obs: DataFrame, size_ms: int = MINUTE_MS) -> DataFrame:
     keyed = obs.select(
         window_key(obs, size_ms),
         key.alias("device"),
-        key.withField("ep", record.ep_path(key, F.col("value"))).alias("resource"),
+        key.withField("ep", record.ep_path(key, F.col("value"), on_bad)).alias("resource"),
     )
     by = F.col(WINDOW if obs.isStreaming else START)
     counted = keyed.groupingSets(

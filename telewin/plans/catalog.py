@@ -38,9 +38,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 OUTPUT_TOPIC = "analytics.server1.observations.maxper30sec"
 OUTPUT_PARTITIONS = 8
 SLICES = 3
-SLICE_MS = 10 * 24 * 60 * MINUTE_MS
-
-DAY_ZERO = tables.VIEW_START_MS
 
 
 # --- views ---------------------------------------------------------------
@@ -222,7 +219,7 @@ def late_count_by_ep_path_1m(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def late_max_by_ep_path_30s(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = drop_late(late(tables.read_events(spark, sf_dir)), HALF_MINUTE_MS, part="rpart")
-    return flat_winners(window_max.window_max(kept, nan="replay"), "off")
+    return flat_winners(window_max.window_max(kept), "off")
 
 
 # --- aggregations --------------------------------------------------------
@@ -247,7 +244,7 @@ def max_by_ep_path_30s(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def max_by_ep_path_30s_nan_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = valid_records(with_nan(obs(spark, sf_dir)))
-    return nan_winners(window_max.window_max(rows, nan="replay"))
+    return nan_winners(window_max.window_max(rows))
 
 
 def nan_winners(winners: DataFrame) -> DataFrame:
@@ -303,19 +300,16 @@ def run_to_table(spark: SparkSession, rows: DataFrame, name: str, mode: str = "u
 def run_in_slices(
     spark: SparkSession, sf_dir: str, base: str, start: Callable[[DataFrame], StreamingQuery]
 ) -> None:
-    """Let the log grow by days and resume the same query after each step.
+    """Let the log grow by offset ranges and resume the same query after each step.
 
     Every step is one trigger, so a slice is in order however many files it has.
     """
     events = tables.read_events(spark, sf_dir)
     log = f"{base}/log"
+    end = (events.agg(F.max("event_id")).first()[0] or 0) + 1
     for step in range(SLICES):
-        low = DAY_ZERO + step * SLICE_MS
-        of_step = tables.event_ms().between(low, low + SLICE_MS - 1)
-        if step == 0:
-            of_step = tables.event_ms() < low + SLICE_MS
-        if step == SLICES - 1:
-            of_step = tables.event_ms() >= low
+        low, high = end * step // SLICES, end * (step + 1) // SLICES
+        of_step = (F.col("event_id") >= low) & (F.col("event_id") < high)
         events.where(of_step).write.mode("append").parquet(log)
         finish(start(spark.readStream.schema(tables.EVENTS).parquet(log)))
 

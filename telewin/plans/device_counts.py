@@ -21,28 +21,29 @@ def per_resource(obs: DataFrame, size_ms: int = MINUTE_MS, on_bad: str = "null")
     return count_by_window(rekey_by_resource(with_retention(obs, size_ms), on_bad), size_ms)
 
 
-def both_levels(obs: DataFrame, size_ms: int = MINUTE_MS) -> DataFrame:
+def both_levels(obs: DataFrame, size_ms: int = MINUTE_MS, on_bad: str = "null") -> DataFrame:
     """Both counts from one read of the source."""
-    return count_both_levels(with_retention(obs, size_ms), size_ms)
+    return count_both_levels(with_retention(obs, size_ms), size_ms, on_bad)
+
+
+def results(obs: DataFrame, settings: CountSettings) -> dict[str, DataFrame]:
+    """What the job prints, by name: both counts together, or each on its own."""
+    size_ms = settings.window_ms
+    on_bad = "fail" if settings.on_bad == "fail" else "null"
+    if settings.one_read:
+        return {"both": both_levels(obs, size_ms, on_bad)}
+    return {"ep": per_device(obs, size_ms), "ep-path": per_resource(obs, size_ms, on_bad)}
 
 
 def start(spark: SparkSession, settings: CountSettings) -> list[StreamingQuery]:
-    """Print both counts as they change. Each has its own query and checkpoint."""
+    """Print the counts as they change, each result by a query with its own checkpoint."""
     use_disk_state(spark)
-    results = {
-        "ep": per_device(observations(spark, settings), settings.window_ms),
-        "ep-path": per_resource(
-            observations(spark, settings),
-            settings.window_ms,
-            "fail" if settings.on_bad == "fail" else "null",
-        ),
-    }
     return [
         to_console(
             counted,
-            f"{settings.name}-{level}",
-            f"{settings.checkpoint}/{settings.name}-{level}",
+            f"{settings.name}-{name}",
+            f"{settings.checkpoint}/{settings.name}-{name}",
             cadence=settings.cadence,
         )
-        for level, counted in results.items()
+        for name, counted in results(observations(spark, settings), settings).items()
     ]

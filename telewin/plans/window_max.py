@@ -16,14 +16,16 @@ from telewin.streaming.topics import to_topic, topic_rows
 def window_max(
     obs: DataFrame,
     size_ms: int = HALF_MINUTE_MS,
-    nan: str = "lowest",
+    nan: str | None = None,
     on_bad: str = "null",
     **rule,
 ) -> DataFrame:
     """Winners of valid records, re-keyed and with both paths marked.
 
-    Marking only depends on the record itself, so it is done on the winners.
+    NaN readings follow the replay rule in a batch and rank lowest on a stream,
+    unless ``nan`` says otherwise. Marking only depends on the record itself, so it is done on the winners.
     """
+    nan = nan or ("lowest" if obs.isStreaming else "replay")
     keyed = rekey_by_resource(with_retention(obs, size_ms), on_bad)
     return mark_max(max_by_window(keyed, size_ms, nan, on_bad, **rule))
 

@@ -29,6 +29,8 @@ class JobSettings:
 class CountSettings(JobSettings):
     name: str = "device-counts"
     window_ms: int = MINUTE_MS
+    # Count both levels in one query, or each in a query that reads the topic itself.
+    one_read: bool = True
 
 
 @dataclass(frozen=True)

@@ -111,6 +111,28 @@ def test_count_job_from_topic(spark):
     }
 
 
+@pytest.mark.parametrize("one_read,names", [(True, {"both"}), (False, {"ep", "ep-path"})])
+def test_count_job_results(spark, one_read, names):
+    settings = CountSettings(checkpoint="x", one_read=one_read)
+    obs = valid_records(decoded(topic_of(spark, ROWS), settings))
+    results = device_counts.results(obs, settings)
+    assert set(results) == names
+    rows = set().union(*(pairs(r, "key.ep", "n") for r in results.values()))
+    assert rows == {("a", 4), ("b", 1), ("a./p", 4), ("b./q", 1)}
+
+
+@pytest.mark.parametrize("one_read", [True, False])
+def test_count_job_can_fail_on_other_branches(spark, one_read):
+    settings = CountSettings(checkpoint="x", one_read=one_read, on_bad="fail")
+    records = topic_of(spark, ROWS[:1]).withColumn(
+        "value", F.lit('{"timestamp":%d,"rep":{"body":null}}' % BASE_MS).cast("binary")
+    )
+    obs = valid_records(decoded(records, settings), settings.on_bad)
+    with pytest.raises(Exception, match="single resource"):
+        for counted in device_counts.results(obs, settings).values():
+            counted.collect()
+
+
 def test_defaults():
     count, best = CountSettings(checkpoint="c"), MaxSettings(checkpoint="c")
     assert count.brokers == best.brokers == "localhost:9092"

@@ -17,6 +17,7 @@ from records import (
     valid,
 )
 from telewin import schema
+from telewin.operators.compaction import latest
 from telewin.operators.counts import count_by_window
 from telewin.operators.maxima import max_by_window
 from telewin.operators.records import rekey_by_resource, valid_records
@@ -144,7 +145,10 @@ def test_a_repeated_trigger_replaces_its_rows(spark, tmp_path):
     assert read_updates(spark, f"{tmp_path}/t").count() == counted.count()
 
 
-def test_state_is_forgotten_a_day_after_window_start(spark, log, tmp_path):
+@pytest.mark.parametrize(
+    "count", [device_counts.per_device, device_counts.per_resource, device_counts.both_levels]
+)
+def test_state_is_forgotten_a_day_after_window_start(spark, log, tmp_path, count):
     use_disk_state(spark)
     day = BASE_MS + 24 * 60 * MINUTE_MS
     log.add([observation(0, BASE_MS), observation(1, BASE_MS + MINUTE_MS)])
@@ -152,9 +156,10 @@ def test_state_is_forgotten_a_day_after_window_start(spark, log, tmp_path):
     # The watermark takes effect on late rows one trigger after it moved.
     log.add([observation(3, day)])
     log.add([observation(4, BASE_MS), observation(5, BASE_MS + MINUTE_MS)])
-    counts = table_of(device_counts.per_device(log.stream()), tmp_path)
+    counts = table_of(count(log.stream()), tmp_path)
     # At stream time BASE + 1 day the first window is closed and the second is not.
-    assert pairs(read_latest(spark, counts), START, "n") == {
+    by = [c for c in ("level", "key", START, END) if c in count(log.stream()).columns]
+    assert pairs(latest(read_updates(spark, counts), by), START, "n") == {
         (BASE_MS, 1),
         (BASE_MS + MINUTE_MS, 2),
         (day, 2),
