@@ -26,7 +26,7 @@ from telewin.operators.windows import (
 )
 from telewin.plans import device_counts, window_max
 from telewin.sources import tables
-from telewin.streaming import ledger
+from telewin.streaming import ledger, stores
 from telewin.streaming.run import finish, use_disk_state
 from telewin.streaming.tables import read_latest, read_updates, to_table
 from telewin.streaming.topics import read_topic_rows, topic_rows
@@ -337,33 +337,54 @@ def stream_max_by_ep_path_30s(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_winners(read_latest(spark, run_to_table(spark, winners, "max")), "off")
 
 
-def compacted_count_by_ep_1m(spark: SparkSession, sf_dir: str) -> DataFrame:
+def compacted(spark: SparkSession, sf_dir: str, result: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The table a query's updates add up to, after several triggers and restarts."""
     use_disk_state(spark)
     base = work_dir(spark, "compacted")
 
     def start(events: DataFrame) -> StreamingQuery:
-        counted = device_counts.per_device(valid_records(tables.observations(events)))
         return to_table(
-            counted, f"{base}/table", base.rsplit("/", 1)[1], f"{base}/checkpoint",
+            result(valid_records(tables.observations(events))),
+            f"{base}/table",
+            base.rsplit("/", 1)[1],
+            f"{base}/checkpoint",
             available_now=True,
         )
 
     run_in_slices(spark, sf_dir, base, start)
-    return flat_counts(read_latest(spark, f"{base}/table"))
+    return read_latest(spark, f"{base}/table")
+
+
+def compacted_count_by_ep_1m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat_counts(compacted(spark, sf_dir, device_counts.per_device))
+
+
+def compacted_count_by_ep_path_1m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat_counts(compacted(spark, sf_dir, device_counts.per_resource), "ep_path")
+
+
+def compacted_max_by_ep_path_30s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat_winners(compacted(spark, sf_dir, window_max.window_max), "off")
+
+
+def state_of(spark: SparkSession, result: DataFrame) -> str:
+    """Run a query to the end of its source; returns the checkpoint with its state."""
+    return run_to_table(spark, result, "store").rsplit("/", 1)[0] + "/checkpoint"
 
 
 def store_count_by_ep_1m(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The counts as the query's own state holds them."""
-    counted = device_counts.per_device(valid(spark, sf_dir, streaming=True))
-    table = run_to_table(spark, counted, "store-ep")
-    state = spark.read.format("statestore").load(f"{table.rsplit('/', 1)[0]}/checkpoint")
-    start = F.unix_millis(F.col("key.window.start"))
-    return state.select(
-        F.col("key.key.ep").alias("ep"),
-        start.alias(START),
-        (start + MINUTE_MS).alias(END),
-        F.col("value.count").alias("n"),
-    )
+    kept = state_of(spark, device_counts.per_device(valid(spark, sf_dir, streaming=True)))
+    return flat_counts(stores.read_counts(spark, kept, MINUTE_MS))
+
+
+def store_count_by_ep_path_1m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = state_of(spark, device_counts.per_resource(valid(spark, sf_dir, streaming=True)))
+    return flat_counts(stores.read_counts(spark, kept, MINUTE_MS), "ep_path")
+
+
+def store_max_by_ep_path_30s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = state_of(spark, window_max.window_max(valid(spark, sf_dir, streaming=True)))
+    return flat_winners(mark_max(stores.read_maxima(spark, kept, HALF_MINUTE_MS)), "off")
 
 
 def stream_late_count_by_ep_1m(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -472,7 +493,11 @@ QUERIES: dict[str, Query] = {
     "stream_count_both_levels_1m": stream_count_both_levels_1m,
     "stream_max_by_ep_path_30s": stream_max_by_ep_path_30s,
     "compacted_count_by_ep_1m": compacted_count_by_ep_1m,
+    "compacted_count_by_ep_path_1m": compacted_count_by_ep_path_1m,
+    "compacted_max_by_ep_path_30s": compacted_max_by_ep_path_30s,
     "store_count_by_ep_1m": store_count_by_ep_1m,
+    "store_count_by_ep_path_1m": store_count_by_ep_path_1m,
+    "store_max_by_ep_path_30s": store_max_by_ep_path_30s,
     "stream_late_count_by_ep_1m": stream_late_count_by_ep_1m,
     "stream_max_by_ep_path_30s_nan_replay": stream_max_by_ep_path_30s_nan_replay,
 }

@@ -190,7 +190,11 @@ from keys group by ep_path""",
     "stream_count_both_levels_1m": _BOTH,
     "stream_max_by_ep_path_30s": _MAX,
     "compacted_count_by_ep_1m": _COUNT_EP,
+    "compacted_count_by_ep_path_1m": _COUNT_PATH,
+    "compacted_max_by_ep_path_30s": _MAX,
     "store_count_by_ep_1m": _COUNT_EP,
+    "store_count_by_ep_path_1m": _COUNT_PATH,
+    "store_max_by_ep_path_30s": _MAX,
     "stream_late_count_by_ep_1m": _LATE_EP,
     "stream_max_by_ep_path_30s_nan_replay": _NAN_BEST,
 }

@@ -2,13 +2,14 @@
 
 from collections.abc import Mapping
 
-# Prefixes of client settings that Spark's connector expects behind "kafka.".
-CLIENT_PREFIXES = ("security.", "ssl.", "sasl.")
-
 
 def client_option(name: str) -> str:
-    """Spell a plain client property the way the connector wants it."""
-    return f"kafka.{name}" if name.startswith(CLIENT_PREFIXES) else name
+    """Spell a plain client property the way the connector wants it, behind ``kafka.``.
+
+    Client properties are dotted and in lower case, the connector's own options are not.
+    """
+    plain = "." in name and name.islower() and not name.startswith("kafka.")
+    return f"kafka.{name}" if plain else name
 
 
 def overlay(defaults: Mapping[str, str], user: Mapping[str, str] | None = None) -> dict[str, str]:

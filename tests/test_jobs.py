@@ -159,6 +159,8 @@ def test_overlay_wins_and_may_be_absent():
             "sasl.mechanism": "PLAIN",
             "kafka.ssl.key.password": "x",
             "maxOffsetsPerTrigger": 1000,
+            "request.timeout.ms": 5000,
+            "fetchOffset.numRetries": 4,
         },
     )
     assert got == {
@@ -170,7 +172,11 @@ def test_overlay_wins_and_may_be_absent():
         "kafka.sasl.mechanism": "PLAIN",
         "kafka.ssl.key.password": "x",
         "maxOffsetsPerTrigger": "1000",
+        "kafka.request.timeout.ms": "5000",
+        "fetchOffset.numRetries": "4",
     }
+    moved = topic_options("b:1", "t", {"bootstrap.servers": "c:2"})
+    assert moved["kafka.bootstrap.servers"] == "c:2"
     assert overlay({"a": "1"}, None) == {"a": "1"}
     assert overlay({"a": "1"}, {"a": "2"}) == {"a": "2"}
 
