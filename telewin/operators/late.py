@@ -51,9 +51,10 @@ def flag_late(
     """
     grace = grace_ms(size_ms) if grace is None else grace
     rows = with_chunk(obs, chunk_offsets)
-    suspects = stage(_suspects(rows, size_ms, part, grace, reached), work, "suspects")
-    if suspects.isEmpty():
+    staged = stage(_suspects(rows, size_ms, part, grace, reached), work, "suspects")
+    if not staged.count:
         return obs.withColumn(LATE, F.lit(False))
+    suspects = staged.sized()
 
     on = [part, CHUNK]
     clean = rows.join(suspects, on, "left_anti").withColumn(LATE, F.lit(False))

@@ -111,22 +111,24 @@ def fold_by_window(
         arrival().alias("at"),
         is_nan().alias("nan"),
     )
-    resets = stage(
-        rows.where("nan").groupBy(*GROUP).agg(F.max("at").alias("reset_at"), F.max(CHUNK).alias("reset_chunk")),
-        work,
-        "resets",
+    nans = rows.where("nan").groupBy(*GROUP).agg(
+        F.max("at").alias("reset_at"), F.max(CHUNK).alias("reset_chunk")
     )
-    if resets.isEmpty():
+    staged = stage(nans, work, "resets")
+    if not staged.count:
         return best_of(rows, GROUP).withColumn("reset", F.lit(False))
 
-    summaries = best_of(rows, (*GROUP, CHUNK)).join(resets, [*GROUP], "left")
-    after = summaries.where(
-        F.col("reset_chunk").isNull() | (F.col(CHUNK) > F.col("reset_chunk"))
-    ).select(*GROUP, "rec", "rank", F.col("reset_at").isNotNull().alias("reset"))
-    marked = resets.withColumnRenamed("reset_chunk", CHUNK)
-    during = best_of(
-        rows.join(marked, [*GROUP, CHUNK]).where(F.col("at") >= F.col("reset_at")), GROUP
-    ).withColumn("reset", F.lit(True))
+    resets = staged.sized()
+    after = (
+        best_of(rows, (*GROUP, CHUNK))
+        .join(resets, [*GROUP], "left")
+        .where(F.col("reset_chunk").isNull() | (F.col(CHUNK) > F.col("reset_chunk")))
+        .select(*GROUP, "rec", "rank", F.col("reset_at").isNotNull().alias("reset"))
+    )
+    in_chunk = rows.join(resets.withColumnRenamed("reset_chunk", CHUNK), [*GROUP, CHUNK])
+    during = best_of(in_chunk.where(F.col("at") >= F.col("reset_at")), GROUP).withColumn(
+        "reset", F.lit(True)
+    )
     both = after.unionByName(during)
     return both.groupBy(*GROUP).agg(
         F.max_by("rec", "rank").alias("rec"),

@@ -2,10 +2,13 @@
 
 import tempfile
 import uuid
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+# Staged tables have a handful of short columns; this many rows stay in the tens of MB.
+BROADCAST_ROWS = 200_000
 
 
 def shared_base(spark: SparkSession) -> str:
@@ -29,14 +32,27 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, path: str | None = None, name: str = "stage") -> DataFrame:
+class Staged(NamedTuple):
+    """A written table and the number of its rows."""
+
+    rows: DataFrame
+    count: int
+
+    def sized(self) -> DataFrame:
+        """The table as a join side: broadcast up to ``BROADCAST_ROWS``, else merged."""
+        if self.count <= BROADCAST_ROWS:
+            return F.broadcast(self.rows)
+        return self.rows.hint("merge")
+
+
+def stage(df: DataFrame, path: str | None = None, name: str = "stage") -> Staged:
     """Write ``df`` and read it back.
 
     Used for small derived tables that several branches of a plan read. The
-    files survive lost executors, and their size lets Spark decide by itself
-    whether the table may be broadcast (``spark.sql.autoBroadcastJoinThreshold``).
+    files survive lost executors. Counting them reads file footers only.
     """
     spark = df.sparkSession
     path = path or work_dir(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    rows = spark.read.schema(df.schema).parquet(path)
+    return Staged(rows, rows.count())

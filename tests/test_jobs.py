@@ -222,6 +222,15 @@ def test_only_a_local_master_may_use_a_temporary_folder():
 def test_staged_tables_keep_rows_and_types(spark):
     df = spark.createDataFrame([Row(a=1, b=Row(c="x"))])
     staged = stage(df)
-    assert staged.schema.simpleString() == df.schema.simpleString()
-    assert staged.collect() == df.collect()
-    assert "FileScan" in staged._jdf.queryExecution().executedPlan().toString()
+    assert staged.count == 1
+    assert staged.rows.schema.simpleString() == df.schema.simpleString()
+    assert staged.rows.collect() == df.collect()
+    assert "FileScan" in staged.rows._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("count,join", [(1, "BroadcastHashJoin"), (10**9, "SortMergeJoin")])
+def test_only_counted_small_tables_are_broadcast(spark, count, join):
+    staged = stage(spark.range(5))._replace(count=count)
+    joined = spark.range(100).join(staged.sized(), "id")
+    assert join in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == 5

@@ -3,6 +3,7 @@ import random
 import pytest
 
 from records import BASE_MS, late_offsets, observation, valid
+from telewin import workspace
 from telewin.operators.late import drop_late, flag_late, stream_times
 from telewin.operators.windows import MINUTE_MS, grace_ms
 
@@ -43,6 +44,14 @@ def test_equals_record_by_record(spark, chunk, stray):
     assert flagged(valid(spark, rows), grace=120_000, chunk_offsets=chunk) == want
 
 
+@pytest.mark.parametrize("rows_allowed", [0, 10**6])
+def test_both_join_ways_agree(spark, monkeypatch, rows_allowed):
+    monkeypatch.setattr(workspace, "BROADCAST_ROWS", rows_allowed)
+    rows = [observation(o, BASE_MS + (o * 7919) % 10**6, part=o % 3) for o in range(200)]
+    want = late_offsets(rows, SIZE, 1000)
+    assert want and flagged(valid(spark, rows), grace=1000, chunk_offsets=16) == want
+
+
 def test_every_record_is_flagged_once(spark):
     rows = [observation(o, BASE_MS + (o * 7919) % 10**6, part=o % 3) for o in range(200)]
     got = flag_late(valid(spark, rows), SIZE, grace=1000, chunk_offsets=16)

@@ -3,6 +3,7 @@ import math
 import pytest
 
 from records import BASE_MS, fold_steps, observation, pairs, random_observations, valid
+from telewin import workspace
 from telewin.operators.compaction import latest
 from telewin.operators.maxima import max_by_window
 from telewin.operators.updates import count_updates, max_updates
@@ -24,6 +25,14 @@ def test_replay_equals_fold(spark, seed, nan, chunk):
     assert winners(got) == best
 
 
+@pytest.mark.parametrize("rows_allowed", [0, 10**6])
+def test_both_join_ways_agree(spark, monkeypatch, rows_allowed):
+    monkeypatch.setattr(workspace, "BROADCAST_ROWS", rows_allowed)
+    rows = random_observations(12, nan=0.1)
+    _, best = fold_steps(rows, SIZE)
+    assert winners(max_by_window(valid(spark, rows), SIZE, nan="replay", chunk_offsets=8)) == best
+
+
 @pytest.mark.parametrize("chunk", [1, 7, 1 << 16])
 @pytest.mark.parametrize("seed,nan", [(4, 0.0), (5, 0.1), (6, 0.6)])
 def test_max_updates_equal_fold_steps(spark, seed, nan, chunk):
