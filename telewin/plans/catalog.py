@@ -13,7 +13,6 @@ from telewin.functions import frame, record, windowed_key
 from telewin.operators.compaction import latest
 from telewin.operators.counts import count_by_window
 from telewin.operators.late import drop_late, flag_late
-from telewin.operators.maxima import max_by_window
 from telewin.operators.records import mark_max, rekey_by_resource, valid_records, with_event_time
 from telewin.operators.updates import count_updates, max_updates
 from telewin.operators.windows import (
@@ -22,7 +21,6 @@ from telewin.operators.windows import (
     MINUTE_MS,
     START,
     assign_window,
-    with_retention,
 )
 from telewin.plans import device_counts, window_max
 from telewin.sources import tables
@@ -337,7 +335,9 @@ def stream_max_by_ep_path_30s(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_winners(read_latest(spark, run_to_table(spark, winners, "max")), "off")
 
 
-def compacted(spark: SparkSession, sf_dir: str, result: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def compacted(
+    spark: SparkSession, sf_dir: str, result: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
     """The table a query's updates add up to, after several triggers and restarts."""
     use_disk_state(spark)
     base = work_dir(spark, "compacted")

@@ -23,7 +23,8 @@ def window_max(
     """Winners of valid records, re-keyed and with both paths marked.
 
     NaN readings follow the replay rule in a batch and rank lowest on a stream,
-    unless ``nan`` says otherwise. Marking only depends on the record itself, so it is done on the winners.
+    unless ``nan`` says otherwise. Marking only depends on the record itself, so it
+    is done on the winners.
     """
     nan = nan or ("lowest" if obs.isStreaming else "replay")
     keyed = rekey_by_resource(with_retention(obs, size_ms), on_bad)

@@ -104,4 +104,5 @@ def late_offsets(rows, size_ms, grace_ms, reached=None):
 
 
 def pairs(df, *columns):
-    return {tuple(r) for r in df.select(*[F.col(c) if isinstance(c, str) else c for c in columns]).collect()}
+    chosen = [F.col(c) if isinstance(c, str) else c for c in columns]
+    return {tuple(r) for r in df.select(*chosen).collect()}

@@ -73,7 +73,8 @@ def test_a_missing_resource_stays_missing(spark):
 
 
 def test_windowed_key_layout(spark):
-    df = spark.createDataFrame([(bytearray(b"ab\x00c"), BASE_MS), (bytearray(b""), 0)], "k binary, s bigint")
+    rows = [(bytearray(b"ab\x00c"), BASE_MS), (bytearray(b""), 0)]
+    df = spark.createDataFrame(rows, "k binary, s bigint")
     data = windowed_key.encode(F.col("k"), F.col("s"))
     got = df.select(
         data.alias("d"),
@@ -158,7 +159,8 @@ def avro_value(content=None, other=None):
 
 
 def test_avro_unions_resolve_and_go_back(spark):
-    resource = Row(id=3, path="/a", value=Row(member_string=None, member_long=8, member_double=None))
+    reading = Row(member_string=None, member_long=8, member_double=None)
+    resource = Row(id=3, path="/a", value=reading)
     single = avro_value(Row(member_avroresource=resource, member_avroobject=None))
     several = avro_value(Row(member_avroresource=None, member_avroobject=Row(path="/o")))
     foreign = avro_value(other=Row(x=1))
@@ -175,9 +177,8 @@ def test_avro_unions_resolve_and_go_back(spark):
     back = marked.select(payloads.avro_response(reading_of()).alias("value"))
     assert back.schema["value"].dataType.simpleString() == AVRO_SHAPE
     got = [r.value for r in back.collect()]
-    assert got[0].rep.body.member_avroreadresponsebody.content.member_avroresource == Row(
-        id=3, path="/a-max", value=Row(member_string=None, member_long=8, member_double=None)
-    )
+    branch = got[0].rep.body.member_avroreadresponsebody.content.member_avroresource
+    assert branch == Row(id=3, path="/a-max", value=reading)
     assert (got[0].path, got[0].code) == ("/a-max", "C")
     assert got[1].rep == several.rep
     assert got[2].rep == foreign.rep

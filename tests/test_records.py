@@ -66,7 +66,10 @@ def test_counts_group_by_the_whole_key(spark):
 
 
 def test_equal_names_of_different_pairs_are_one_key(spark):
-    rows = [observation(0, BASE_MS, ep="a.b", path="c"), observation(1, BASE_MS, ep="a", path="b.c")]
+    rows = [
+        observation(0, BASE_MS, ep="a.b", path="c"),
+        observation(1, BASE_MS, ep="a", path="b.c"),
+    ]
     obs = valid(spark, rows)
     assert pairs(count_by_window(rekey_by_resource(obs)), "key.ep", "n") == {("a.b.c", 2)}
     both = pairs(count_both_levels(obs), "level", "key.ep", "n")
