@@ -47,7 +47,9 @@ def winner() -> Column:
 
 
 def is_nan() -> Column:
-    return F.coalesce(F.isnan(record.numeric_value(F.col("value"))), F.lit(False))
+    """Whether the reading is NaN; the long branch is only looked at when the double is."""
+    reading = record.resource(F.col("value")).getField("value")
+    return F.isnan(reading.getField("dbl")) & reading.getField("lng").isNull()
 
 
 def reduce_by_window(

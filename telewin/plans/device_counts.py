@@ -9,6 +9,7 @@ from telewin.operators.windows import MINUTE_MS, with_retention
 from telewin.plans.source import observations
 from telewin.settings import CountSettings
 from telewin.streaming.run import to_console, use_disk_state
+from telewin.workspace import job_checkpoint
 
 
 def per_device(obs: DataFrame, size_ms: int = MINUTE_MS) -> DataFrame:
@@ -42,7 +43,7 @@ def start(spark: SparkSession, settings: CountSettings) -> list[StreamingQuery]:
         to_console(
             counted,
             f"{settings.name}-{name}",
-            f"{settings.checkpoint}/{settings.name}-{name}",
+            job_checkpoint(spark, settings.checkpoint, f"{settings.name}-{name}"),
             cadence=settings.cadence,
         )
         for name, counted in results(observations(spark, settings), settings).items()

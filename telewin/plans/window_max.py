@@ -11,6 +11,7 @@ from telewin.settings import MaxSettings
 from telewin.sources.payloads import avro_response, to_framed_avro
 from telewin.streaming.run import use_disk_state
 from telewin.streaming.topics import to_topic, topic_rows
+from telewin.workspace import job_checkpoint
 
 
 def window_max(
@@ -55,7 +56,7 @@ def start(spark: SparkSession, settings: MaxSettings) -> StreamingQuery:
         output_rows(winners, settings),
         settings.brokers,
         settings.name,
-        f"{settings.checkpoint}/{settings.name}",
+        job_checkpoint(spark, settings.checkpoint, settings.name),
         settings.options,
         cadence=settings.cadence,
     )

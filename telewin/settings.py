@@ -9,9 +9,10 @@ from telewin.streaming.run import CADENCE
 
 @dataclass(frozen=True)
 class JobSettings:
-    """What both jobs need. ``checkpoint`` is a folder in shared storage."""
+    """What both jobs need."""
 
-    checkpoint: str
+    # A folder in shared storage; by default the one the session names.
+    checkpoint: str | None = None
     brokers: str = "localhost:9092"
     topic: str = "iot.server1.observations"
     # Writer schema text by registry id; empty means JSON payloads.

@@ -27,6 +27,14 @@ def shared_base(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def job_checkpoint(spark: SparkSession, folder: str | None, name: str) -> str:
+    """Where a job keeps its progress: the same place on every start."""
+    base = folder or spark.conf.get(CHECKPOINT_CONF, None)
+    if not base:
+        raise ValueError(f"a job needs a checkpoint folder, or {CHECKPOINT_CONF}")
+    return f"{base.rstrip('/')}/{name}"
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared folder."""
     return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"

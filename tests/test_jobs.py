@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import Row, functions as F
 
 from records import BASE_MS, frame_of, observation, pairs
+from telewin.app import parse
 from telewin.operators.compaction import latest
 from telewin.operators.records import valid_records
 from telewin.operators.windows import END, HALF_MINUTE_MS, MINUTE_MS, START
@@ -16,7 +17,7 @@ from telewin.sources.topics import read_topic, topic_options
 from telewin.streaming.run import finish
 from telewin.streaming.tables import read_updates, to_table
 from telewin.streaming.topics import read_topic_rows, topic_rows
-from telewin.workspace import shared_base, stage, work_dir
+from telewin.workspace import job_checkpoint, shared_base, stage, work_dir
 
 
 def topic_of(spark, rows):
@@ -212,6 +213,46 @@ def test_work_goes_to_the_folder_the_session_names():
     assert work_dir(Session("yarn", None, "hdfs://set"), "x").startswith("hdfs://set/x-")
 
 
+def test_a_job_returns_to_its_checkpoint():
+    session = Session("yarn", "hdfs://n/shared")
+    assert job_checkpoint(session, None, "job") == "hdfs://n/shared/job"
+    assert job_checkpoint(session, "s3a://b/cp/", "job") == "s3a://b/cp/job"
+    with pytest.raises(ValueError, match="checkpoint"):
+        job_checkpoint(Session("local[2]"), None, "job")
+
+
+def test_positional_arguments_and_their_defaults():
+    assert parse(["counts"]) == ("counts", CountSettings())
+    assert parse(["max"]) == ("max", MaxSettings())
+    job, settings = parse(
+        ["max", "b:1", "in", "out", "/cp", "--option", "ssl.key.password=a=b",
+         "--option", "maxOffsetsPerTrigger=10"]
+    )
+    assert job == "max"
+    assert settings == MaxSettings(
+        checkpoint="/cp",
+        brokers="b:1",
+        topic="in",
+        output_topic="out",
+        options={"ssl.key.password": "a=b", "maxOffsetsPerTrigger": "10"},
+    )
+    with pytest.raises(SystemExit):
+        parse(["max", "--option", "nothing"])
+
+
+def test_schema_files(tmp_path):
+    for name in ("key", "value", "out"):
+        (tmp_path / name).write_text(f'"{name}"')
+    _, settings = parse(
+        ["max", "--key-schema", f"3={tmp_path}/key", "--value-schema", f"7={tmp_path}/value",
+         "--output-value-schema", f"9={tmp_path}/out", "--output-partitions", "16"]
+    )
+    assert settings.key_schemas == {3: '"key"'}
+    assert settings.value_schemas == {7: '"value"'}
+    assert settings.output_value_schema == (9, '"out"')
+    assert settings.output_partitions == 16
+
+
 def test_only_a_local_master_may_use_a_temporary_folder():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_base(Session("spark://host:7077"))
