@@ -28,6 +28,7 @@ from telewin.operators.windows import (
     assign_window,
     window_bounds,
     window_key,
+    with_retention,
 )
 from telewin.workspace import stage
 
@@ -59,12 +60,14 @@ def reduce_by_window(
     order_by: Column,
     keep: Column,
     name: str = "rec",
+    grace: int | None = None,
 ) -> DataFrame:
     """Per key and window, ``keep`` of the record that is greatest by ``order_by``.
 
     ``order_by`` should differ between any two records of a group. Candidates
     are reduced before the shuffle.
     """
+    obs = with_retention(obs, size_ms, grace)
     reduced = obs.groupBy(window_key(obs, size_ms), *keys).agg(
         F.max_by(keep, order_by).alias(name)
     )

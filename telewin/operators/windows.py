@@ -22,6 +22,11 @@ def assign_window(obs: DataFrame, size_ms: int) -> DataFrame:
     return obs.withColumns({START: start, END: start + size_ms})
 
 
+def time_column(obs: DataFrame) -> str:
+    """The column ``window_key`` reads: a stream's watermark needs a timestamp."""
+    return "event_time" if obs.isStreaming else "ts_ms"
+
+
 def window_key(obs: DataFrame, size_ms: int) -> Column:
     """The window as a grouping column.
 
@@ -29,8 +34,8 @@ def window_key(obs: DataFrame, size_ms: int) -> Column:
     groups by the start alone, a cheaper key to hash and to shuffle.
     """
     if obs.isStreaming:
-        return F.window("event_time", f"{size_ms} milliseconds").alias(WINDOW)
-    return start_ms(F.col("ts_ms"), size_ms).alias(START)
+        return F.window(time_column(obs), f"{size_ms} milliseconds").alias(WINDOW)
+    return start_ms(F.col(time_column(obs)), size_ms).alias(START)
 
 
 def window_bounds(grouped: DataFrame, size_ms: int) -> list[Column]:

@@ -5,7 +5,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from telewin.operators.counts import count_both_levels, count_by_window
 from telewin.operators.records import rekey_by_resource
-from telewin.operators.windows import MINUTE_MS, with_retention
+from telewin.operators.windows import MINUTE_MS
 from telewin.plans.source import observations
 from telewin.settings import CountSettings
 from telewin.streaming.run import to_console, use_disk_state
@@ -14,17 +14,17 @@ from telewin.workspace import job_checkpoint
 
 def per_device(obs: DataFrame, size_ms: int = MINUTE_MS) -> DataFrame:
     """Counts per device and window of valid records."""
-    return count_by_window(with_retention(obs, size_ms), size_ms)
+    return count_by_window(obs, size_ms)
 
 
 def per_resource(obs: DataFrame, size_ms: int = MINUTE_MS, on_bad: str = "null") -> DataFrame:
     """Counts per device, resource and window of valid records."""
-    return count_by_window(rekey_by_resource(with_retention(obs, size_ms), on_bad), size_ms)
+    return count_by_window(rekey_by_resource(obs, on_bad), size_ms)
 
 
 def both_levels(obs: DataFrame, size_ms: int = MINUTE_MS, on_bad: str = "null") -> DataFrame:
     """Both counts from one read of the source."""
-    return count_both_levels(with_retention(obs, size_ms), size_ms, on_bad)
+    return count_both_levels(obs, size_ms, on_bad)
 
 
 def results(obs: DataFrame, settings: CountSettings) -> dict[str, DataFrame]:

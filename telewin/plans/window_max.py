@@ -5,7 +5,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from telewin.operators.maxima import max_by_window
 from telewin.operators.records import mark_max, rekey_by_resource
-from telewin.operators.windows import HALF_MINUTE_MS, with_retention
+from telewin.operators.windows import HALF_MINUTE_MS
 from telewin.plans.source import observations
 from telewin.settings import MaxSettings
 from telewin.sources.payloads import avro_response, to_framed_avro
@@ -28,7 +28,7 @@ def window_max(
     is done on the winners.
     """
     nan = nan or ("lowest" if obs.isStreaming else "replay")
-    keyed = rekey_by_resource(with_retention(obs, size_ms), on_bad)
+    keyed = rekey_by_resource(obs, on_bad)
     return mark_max(max_by_window(keyed, size_ms, nan, on_bad, **rule))
 
 
