@@ -387,31 +387,57 @@ def store_max_by_ep_path_30s(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_winners(mark_max(stores.read_maxima(spark, kept, HALF_MINUTE_MS)), "off")
 
 
-def stream_late_count_by_ep_1m(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = work_dir(spark, "late-count")
+def exact(
+    spark: SparkSession,
+    sf_dir: str,
+    keep: Callable[..., StreamingQuery],
+    rows_of: Callable[[DataFrame], DataFrame],
+    size_ms: int,
+    part: str = "part",
+) -> str:
+    """Keep an exact table over several triggers and restarts; returns where it is."""
+    base = work_dir(spark, "exact")
 
     def start(events: DataFrame) -> StreamingQuery:
-        return ledger.count_exactly(
-            late(events), MINUTE_MS, f"{base}/table", base.rsplit("/", 1)[1],
-            f"{base}/checkpoint", available_now=True,
+        return keep(
+            rows_of(events),
+            size_ms,
+            f"{base}/table",
+            base.rsplit("/", 1)[1],
+            f"{base}/checkpoint",
+            part=part,
+            available_now=True,
         )
 
     run_in_slices(spark, sf_dir, base, start)
-    return flat_counts(ledger.read_counts(spark, f"{base}/table"))
+    return f"{base}/table"
 
 
-def stream_max_by_ep_path_30s_nan_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = work_dir(spark, "nan-max")
+def late_by_resource(events: DataFrame) -> DataFrame:
+    return rekey_by_resource(late(events))
 
-    def start(events: DataFrame) -> StreamingQuery:
-        rows = valid_records(with_nan(tables.observations(events)))
-        return ledger.max_exactly(
-            rekey_by_resource(rows), HALF_MINUTE_MS, f"{base}/table", base.rsplit("/", 1)[1],
-            f"{base}/checkpoint", available_now=True,
-        )
 
-    run_in_slices(spark, sf_dir, base, start)
-    return nan_winners(ledger.read_maxima(spark, f"{base}/table", HALF_MINUTE_MS))
+def stream_late_count_by_ep_1m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = exact(spark, sf_dir, ledger.count_exactly, late, MINUTE_MS)
+    return flat_counts(ledger.read_counts(spark, table))
+
+
+def stream_late_count_by_ep_path_1m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = exact(spark, sf_dir, ledger.count_exactly, late_by_resource, MINUTE_MS, "rpart")
+    return flat_counts(ledger.read_counts(spark, table), "ep_path")
+
+
+def stream_late_max_by_ep_path_30s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = exact(spark, sf_dir, ledger.max_exactly, late_by_resource, HALF_MINUTE_MS, "rpart")
+    return flat_winners(mark_max(ledger.read_maxima(spark, table, HALF_MINUTE_MS)), "off")
+
+
+def stream_max_by_ep_path_30s_nan_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def rows_of(events: DataFrame) -> DataFrame:
+        return rekey_by_resource(valid_records(with_nan(tables.observations(events))))
+
+    table = exact(spark, sf_dir, ledger.max_exactly, rows_of, HALF_MINUTE_MS)
+    return nan_winners(ledger.read_maxima(spark, table, HALF_MINUTE_MS))
 
 
 # --- sinks ---------------------------------------------------------------
@@ -499,5 +525,7 @@ QUERIES: dict[str, Query] = {
     "store_count_by_ep_path_1m": store_count_by_ep_path_1m,
     "store_max_by_ep_path_30s": store_max_by_ep_path_30s,
     "stream_late_count_by_ep_1m": stream_late_count_by_ep_1m,
+    "stream_late_count_by_ep_path_1m": stream_late_count_by_ep_path_1m,
+    "stream_late_max_by_ep_path_30s": stream_late_max_by_ep_path_30s,
     "stream_max_by_ep_path_30s_nan_replay": stream_max_by_ep_path_30s_nan_replay,
 }

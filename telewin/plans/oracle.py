@@ -139,6 +139,8 @@ keys as (select distinct ep_path, {_bounds(HALF_MINUTE_MS)} from obs)"""
 _COUNT_EP = _count("ep", "obs", _OBS)
 _COUNT_PATH = _count("ep_path", "obs", _OBS)
 _MAX = _best("obs", _OBS, f"off, {_WINNER}")
+_LATE_PATH = _count("ep_path", "flagged", _late(MINUTE_MS, "rpart"), "not late")
+_LATE_MAX = _best("flagged", _late(HALF_MINUTE_MS, "rpart"), f"off, {_WINNER}", "not late")
 _LATE_EP = _count("ep", "flagged", _late(MINUTE_MS, "part"), "not late")
 
 ORACLE: dict[str, str] = {
@@ -169,12 +171,8 @@ from obs""",
     "tumbling_assign_30s": _assign(HALF_MINUTE_MS),
     "late_flag": f"with {_late(MINUTE_MS, 'part')} select off, part, late from flagged",
     "late_count_by_ep_1m": _LATE_EP,
-    "late_count_by_ep_path_1m": _count(
-        "ep_path", "flagged", _late(MINUTE_MS, "rpart"), "not late"
-    ),
-    "late_max_by_ep_path_30s": _best(
-        "flagged", _late(HALF_MINUTE_MS, "rpart"), f"off, {_WINNER}", "not late"
-    ),
+    "late_count_by_ep_path_1m": _LATE_PATH,
+    "late_max_by_ep_path_30s": _LATE_MAX,
     "windowed_key_encode": f"""{_KEYS}
 select ep_path, window_start_ms,
        concat(hex(ep_path), format('{{:016X}}', window_start_ms)) as key_hex
@@ -196,5 +194,7 @@ from keys group by ep_path""",
     "store_count_by_ep_path_1m": _COUNT_PATH,
     "store_max_by_ep_path_30s": _MAX,
     "stream_late_count_by_ep_1m": _LATE_EP,
+    "stream_late_count_by_ep_path_1m": _LATE_PATH,
+    "stream_late_max_by_ep_path_30s": _LATE_MAX,
     "stream_max_by_ep_path_30s_nan_replay": _NAN_BEST,
 }
