@@ -25,7 +25,7 @@ from telewin.operators.windows import (
 from telewin.plans import device_counts, window_max
 from telewin.sources import tables
 from telewin.streaming import ledger, stores
-from telewin.streaming.run import finish, use_disk_state
+from telewin.streaming.run import finish, use_stream_settings
 from telewin.streaming.tables import read_latest, read_updates, to_table
 from telewin.streaming.topics import read_topic_rows, topic_rows
 from telewin.workspace import work_dir
@@ -284,7 +284,7 @@ def updates_max_by_ep_path_30s(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_to_table(spark: SparkSession, rows: DataFrame, name: str, mode: str = "update") -> str:
     """Run a stream over what its source holds now; returns where its updates are."""
-    use_disk_state(spark)
+    use_stream_settings(spark)
     base = work_dir(spark, name)
     finish(
         to_table(
@@ -339,7 +339,7 @@ def compacted(
     spark: SparkSession, sf_dir: str, result: Callable[[DataFrame], DataFrame]
 ) -> DataFrame:
     """The table a query's updates add up to, after several triggers and restarts."""
-    use_disk_state(spark)
+    use_stream_settings(spark)
     base = work_dir(spark, "compacted")
 
     def start(events: DataFrame) -> StreamingQuery:

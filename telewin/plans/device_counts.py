@@ -8,7 +8,7 @@ from telewin.operators.records import rekey_by_resource
 from telewin.operators.windows import MINUTE_MS
 from telewin.plans.source import observations
 from telewin.settings import CountSettings
-from telewin.streaming.run import to_console, use_disk_state
+from telewin.streaming.run import to_console, use_stream_settings
 from telewin.workspace import job_checkpoint
 
 
@@ -38,7 +38,7 @@ def results(obs: DataFrame, settings: CountSettings) -> dict[str, DataFrame]:
 
 def start(spark: SparkSession, settings: CountSettings) -> list[StreamingQuery]:
     """Print the counts as they change, each result by a query with its own checkpoint."""
-    use_disk_state(spark)
+    use_stream_settings(spark)
     return [
         to_console(
             counted,

@@ -9,7 +9,7 @@ from telewin.operators.windows import HALF_MINUTE_MS
 from telewin.plans.source import observations
 from telewin.settings import MaxSettings
 from telewin.sources.payloads import avro_response, to_framed_avro
-from telewin.streaming.run import use_disk_state
+from telewin.streaming.run import use_stream_settings
 from telewin.streaming.topics import to_topic, topic_rows
 from telewin.workspace import job_checkpoint
 
@@ -46,7 +46,7 @@ def output_rows(winners: DataFrame, settings: MaxSettings) -> DataFrame:
 
 def start(spark: SparkSession, settings: MaxSettings) -> StreamingQuery:
     """Publish the winners of each window as they change."""
-    use_disk_state(spark)
+    use_stream_settings(spark)
     winners = window_max(
         observations(spark, settings),
         settings.window_ms,

@@ -31,7 +31,7 @@ from telewin.operators.windows import (
 )
 from telewin.plans import device_counts, window_max
 from telewin.streaming import ledger
-from telewin.streaming.run import finish, to_console, use_disk_state
+from telewin.streaming.run import finish, to_console, use_stream_settings
 from telewin.streaming.tables import read_latest, read_updates, to_table, write_batch
 
 
@@ -114,7 +114,7 @@ def test_a_trigger_updates_a_key_at_most_once(spark, log, tmp_path):
 
 
 def test_restart_resumes_without_reading_again(spark, log, tmp_path):
-    use_disk_state(spark)
+    use_stream_settings(spark)
     rows = random_observations(23, n=400)
     pieces = in_pieces(rows, 4)
     read, ids = 0, set()
@@ -149,7 +149,7 @@ def test_a_repeated_trigger_replaces_its_rows(spark, tmp_path):
     "count", [device_counts.per_device, device_counts.per_resource, device_counts.both_levels]
 )
 def test_state_is_forgotten_a_day_after_window_start(spark, log, tmp_path, count):
-    use_disk_state(spark)
+    use_stream_settings(spark)
     day = BASE_MS + 24 * 60 * MINUTE_MS
     log.add([observation(0, BASE_MS), observation(1, BASE_MS + MINUTE_MS)])
     log.add([observation(2, day)])
