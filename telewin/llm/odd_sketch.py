@@ -5,7 +5,9 @@ MinHash. Bands of samples propose candidates; the samples of a document, each
 together with its place, are folded into a bitmap of parities (an odd sketch).
 The population count of two bitmaps' XOR gives the size of the samples'
 symmetric difference, hence the similarity, and drops the candidates that are
-far off. The others are confirmed on their whole sets.
+far off. A second odd sketch, of the whole set, bounds the difference of the
+sets from below and so drops others with certainty. Both are conditions of the
+join that pairs a bucket with its centers. What is left is confirmed on whole sets.
 
 No bucket is ever paired with itself. Each round ties the members of a bucket
 to a few centers of it; members that have come to be in one component need no
@@ -35,9 +37,10 @@ MISSED = 1e-6
 #: Standard deviations that an estimate may lie below the threshold.
 SLACK = 5.5
 SKETCH_BITS = 512
+#: Of the sketch of the whole set.
+PARITY_BITS = 1024
 
 _U = np.uint64
-_WORDS = SKETCH_BITS // 64
 
 
 def bands_for(percent: int) -> int:
@@ -82,21 +85,28 @@ def _sketched(block: Block, k: int, bands: int) -> dict[str, np.ndarray]:
             key = mix(key ^ least[i * ROWS + j]) + _U(j)
         keys[has, i] = key
     out["bands"] = keys.view(np.int64)
-    place = mix(least ^ mix(np.arange(1, samples + 1, dtype=np.uint64))[:, None]) % _U(SKETCH_BITS)
-    cell = place.astype(np.int64) + has[None, :] * SKETCH_BITS
-    odd = (np.bincount(cell.ravel(), minlength=block.texts * SKETCH_BITS) & 1).astype(np.uint8)
-    out["odd"] = np.packbits(odd.reshape(block.texts, SKETCH_BITS), axis=1).view(np.int64)
+    place = mix(least ^ mix(np.arange(1, samples + 1, dtype=np.uint64))[:, None])
+    out["odd"] = _parities(place.ravel(), np.tile(has, samples), block.texts, SKETCH_BITS)
+    out["parity"] = _parities(mix(found + factor[1]), np.repeat(np.arange(block.texts), size), block.texts, PARITY_BITS)
     return out
 
 
+def _parities(values: np.ndarray, owner: np.ndarray, texts: int, bits: int) -> np.ndarray:
+    """Of every text, one bit for each of ``bits`` places: whether an odd number of its values fell there."""
+    cell = (values % _U(bits)).astype(np.int64) + owner * bits
+    odd = (np.bincount(cell, minlength=texts * bits) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(texts, bits), axis=1).view(np.int64)
+
+
 def sketches(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
-    """``doc_id, n, a, b, bands, odd`` of every document.
+    """``doc_id, n, a, b, bands, odd, parity`` of every document.
 
     ``n`` is the size of the shingle set, ``a`` and ``b`` stand for the set,
-    ``bands`` are the keys under which near sets meet, ``odd`` is the odd sketch as longs.
+    ``bands`` are the keys under which near sets meet, ``odd`` and ``parity`` are the odd
+    sketches of the samples and of the whole set, as longs.
     """
     bands = bands_for(percent)
-    schema = "doc_id long, n long, a long, b long, bands array<long>, odd array<long>"
+    schema = "doc_id long, n long, a long, b long, bands array<long>, odd array<long>, parity array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,26 +116,40 @@ def sketches(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
                     pa.ListArray.from_arrays(
                         np.arange(0, len(v) * v.shape[1] + 1, v.shape[1], dtype=np.int32), pa.array(v.ravel())
                     )
-                    for v in (x["bands"], x["odd"])
+                    for v in (x["bands"], x["odd"], x["parity"])
                 ]
                 ids = batch.column(0).slice(block.first, block.texts)
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array(x["n"]), pa.array(x["a"]), pa.array(x["b"]), *lists],
-                    names=["doc_id", "n", "a", "b", "bands", "odd"],
+                    names=["doc_id", "n", "a", "b", "bands", "odd", "parity"],
                 )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
+def differing(left: str, right: str, bits: int) -> Column:
+    """Population count of the XOR of two bitmaps."""
+    words = [F.bit_count(F.get(left, F.lit(i)).bitwiseXOR(F.get(right, F.lit(i)))) for i in range(bits // 64)]
+    return sum(words[1:], words[0])
+
+
 def estimate(left: str, right: str, samples: int) -> Column:
     """Similarity of two documents by their odd sketches; null where it is too low to tell."""
-    differ = sum(
-        (F.bit_count(F.get(left, F.lit(i)).bitwiseXOR(F.get(right, F.lit(i)))) for i in range(_WORDS)), F.lit(0)
-    )
-    inner = F.lit(1.0) - F.lit(2.0 / SKETCH_BITS) * differ
+    inner = F.lit(1.0) - F.lit(2.0 / SKETCH_BITS) * differing(left, right, SKETCH_BITS)
     return F.when(inner > 0, 1 + F.lit(SKETCH_BITS / (4.0 * samples)) * F.log(inner))
 
 
+def possible(percent: int, samples: int) -> Column:
+    """Whether the rows' sizes and sketches (``n``, ``odd``, ``parity``, and ``c_`` of the center) allow a link.
+
+    Sizes and the sketch of the whole set rule out with certainty: every odd
+    place of the XOR holds a shingle that only one of the sets has.
+    """
+    sizes = F.least("n", "c_n") * 100 >= F.greatest("n", "c_n") * percent
+    apart = differing("parity", "c_parity", PARITY_BITS) * (100 + percent) <= (F.col("n") + F.col("c_n")) * (100 - percent)
+    return sizes & apart & (estimate("odd", "c_odd", samples) >= least_estimate(percent, samples))
+
+
 def least_estimate(percent: int, samples: int) -> float:
     t = percent / 100
     difference = 2 * samples * (1 - t)
@@ -167,15 +191,15 @@ def linked(docs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
     full = sets.where("n > 0 and doc_id is not null")
     first = full.groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"))
     reps = written(
-        full.join(first, ["a", "b", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "n", "bands", "odd"),
+        full.join(first, ["a", "b", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "n", "bands", "odd", "parity"),
         "reps",
     )
+    sketch = reps.select("rep", "n", "odd", "parity")
     keys = reps.select(F.explode("bands").alias("band"), "rep")
     shared = keys.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("band")
     members = written(keys.join(shared, "band", "left_semi"), "members")
     comps = spark.createDataFrame([], "rep long, root long")
     tested = spark.createDataFrame([], "u long, v long")
-    sketch = reps.select("rep", "n", "odd")
     centers_each, turn = 1, 0
     while True:
         placed = members.join(comps, "rep", "left").select("band", "rep", F.coalesce("root", "rep").alias("root"))
@@ -191,25 +215,20 @@ def linked(docs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
             .select("band", "center", "center_root"),
             "centers",
         )
+        held = centers.join(
+            sketch.select(F.col("rep").alias("center"), *[F.col(c).alias(f"c_{c}") for c in ("n", "odd", "parity")]),
+            "center",
+        ).withColumnRenamed("band", "c_band")
+        near = (F.col("band") == F.col("c_band")) & (F.col("root") != F.col("center_root")) & possible(percent, samples)
         pairs = (
-            live.join(centers, "band")
-            .where("root <> center_root")
+            live.join(sketch, "rep")
+            .join(held, near)
             .select(F.least("rep", "center").alias("u"), F.greatest("rep", "center").alias("v"))
             .distinct()
             .join(tested, ["u", "v"], "left_anti")
         )
         pairs = written(pairs, "pairs")
-        x = sketch.select(F.col("rep").alias("u"), F.col("n").alias("n1"), F.col("odd").alias("odd1"))
-        y = sketch.select(F.col("rep").alias("v"), F.col("n").alias("n2"), F.col("odd").alias("odd2"))
-        likely = (
-            pairs.join(x, "u")
-            .join(y, "v")
-            .where(F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent)
-            .where(estimate("odd1", "odd2", samples) >= least_estimate(percent, samples))
-            .select("u", "v")
-            .distinct()
-        )
-        links = confirmed(written(likely, "likely"), docs, percent, k)
+        links = confirmed(pairs, docs, percent, k)
         # Links between components found so far; their components join the old ones.
         lead = comps.select(F.col("rep").alias("x"), "root")
         ends = links.join(lead.select(F.col("x").alias("u"), F.col("root").alias("ru")), "u", "left").join(
