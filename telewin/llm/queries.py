@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import odd_sketch
+from . import license_templates, lpt_shards, odd_sketch, pattern_packing, pivot_index, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +18,37 @@ def op2_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd_sketch.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return winnowing.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op4_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of nearly equal bytes."""
+    return lpt_shards.sharded(table(spark, sf_dir, "documents"), 24)
+
+
+def op5_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    return pattern_packing.packed(table(spark, sf_dir, "documents"))
+
+
+def op7_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best partners of every twentieth vector among all vectors."""
+    return pivot_index.top_k(table(spark, sf_dir, "embeddings"), 20, 20)
+
+
+def op10_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and template matches of all documents."""
+    return license_templates.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_odd_sketch": op2_odd_sketch,
+    "op3_winnowing": op3_winnowing,
+    "op4_lpt_shards": op4_lpt_shards,
+    "op5_pattern_packing": op5_pattern_packing,
+    "op7_pivot_index": op7_pivot_index,
+    "op10_license_templates": op10_license_templates,
 }
 ORACLE: dict[str, str] = {}
