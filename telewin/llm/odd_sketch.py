@@ -283,8 +283,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``docs`` with one row of every component of near duplicates, the one with the least id.
 
-    Rows that repeat an id collapse to one of them. Rows without an id all stay.
+    Of rows that repeat an id one stays. Rows without an id all stay.
     """
-    kept = near_duplicates(docs, percent).where("kept and doc_id is not null").select("doc_id").distinct()
-    stay = docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return stay.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    found = near_duplicates(docs, percent)
+    copies = stage(found.where("not kept").select("doc_id").distinct(), name="llm-copies").sized()
+    repeats = stage(found.groupBy("doc_id").count().where("doc_id is not null and count > 1").select("doc_id"), name="llm-repeats")
+    stay = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    if not repeats.count:
+        return stay
+    again = stay.join(repeats.sized(), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return stay.join(repeats.sized(), "doc_id", "left_anti").select(*docs.columns).unionByName(again)
