@@ -203,7 +203,6 @@ def linked(docs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
     centers_each, turn = 1, 0
     while True:
         placed = members.join(comps, "rep", "left").select("band", "rep", F.coalesce("root", "rep").alias("root"))
-        placed = written(placed, "placed")
         open_ = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
         live = written(placed.join(open_.select("band"), "band", "left_semi"), "live")
         if live.isEmpty():
@@ -235,13 +234,12 @@ def linked(docs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
             lead.select(F.col("x").alias("v"), F.col("root").alias("rv")), "v", "left"
         )
         merged = components(ends.select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v")))
-        merged = written(merged, "merged")
         moved = comps.join(merged.select(F.col("u").alias("root"), F.col("root").alias("to")), "root", "left").select(
             "rep", F.coalesce("to", "root").alias("root")
         )
         fresh = merged.select(F.col("u").alias("rep"), "root").join(comps, "rep", "left_anti")
         comps = written(moved.unionByName(fresh), "comps")
-        tested = written(tested.unionByName(pairs), "tested")
+        tested = tested.unionByName(pairs)
         members = live.select("band", "rep").join(
             centers.select("band", F.col("center").alias("rep")), ["band", "rep"], "left_anti"
         )
