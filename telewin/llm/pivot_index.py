@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .shared import written
 
 #: Pivots: this many rows, chosen by a hash of their ids. Every row is indexed by them.
-PIVOTS = 48
+PIVOTS = 24
 RING_ROWS = 2048
-QUERY_ROWS = 256
+QUERY_ROWS = 1024
 #: Rings of the first visit.
 FIRST = 2
 _EPS = 1e-6
@@ -233,19 +233,22 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
     ).reshape(-1, 5)
     rings = rings[np.lexsort(rings.T[::-1])]
     asked = keyed.where(F.col("vec_id") % every == 0)
-    per = asked.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / F.lit(QUERY_ROWS)).alias("cuts"))
-    asked = asked.join(F.broadcast(per), "pivot").withColumn("cut", F.pmod(F.xxhash64("vec_id"), "cuts"))
-    queries = written(_blocks(asked.select("pivot", "cut", "vec_id", "v", "d"), ["pivot", "cut"], dims), "queries")
+    # Queries of neighbouring pivots share a block; pivots with many queries are cut by a hash.
+    share = max(1, min(PIVOTS, asked.count() // QUERY_ROWS))
+    asked = asked.withColumn("part", F.floor(F.col("pivot") * share / PIVOTS).cast("int"))
+    per = asked.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / F.lit(QUERY_ROWS)).alias("cuts"))
+    asked = asked.join(F.broadcast(per), "part").withColumn("cut", F.pmod(F.xxhash64("vec_id"), "cuts"))
+    queries = written(_blocks(asked.select("part", "cut", "vec_id", "v", "d"), ["part", "cut"], dims), "queries")
     ringed = ring_blocks.select("pivot", "at", "cut", "ids", "rows")
     plain = queries.select("ids", "rows", F.lit(b"").alias("far"))
-    visit = _planned(plain, pivots, rings, dims, FIRST, False).join(ringed, ["pivot", "at", "cut"])
+    visit = written(_planned(plain, pivots, rings, dims, FIRST, False), "visits").join(ringed, ["pivot", "at", "cut"])
     found = written(_top(_visited(visit, k, dims), k), "found")
     worst = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     far = (
         asked.join(worst, F.col("vec_id") == F.col("query_id"), "left")
         .select(
-            "pivot",
+            "part",
             "cut",
             "vec_id",
             "v",
@@ -266,7 +269,9 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
             }
         )
 
-    limits = far.groupBy("pivot", "cut").applyInArrow(block, "ids binary, rows binary, far binary")
-    visit = _planned(limits, pivots, rings, dims, FIRST, True).join(ringed, ["pivot", "at", "cut"])
-    both = found.select("query_id", "vec_id", "score").unionByName(_visited(visit, k, dims))
+    # Every step in Python is written, so that no task holds two of them.
+    limits = written(far.groupBy("part", "cut").applyInArrow(block, "ids binary, rows binary, far binary"), "limits")
+    visit = written(_planned(limits, pivots, rings, dims, FIRST, True), "visits").join(ringed, ["pivot", "at", "cut"])
+    more = written(_visited(visit, k, dims), "more")
+    both = found.select("query_id", "vec_id", "score").unionByName(more)
     return _top(both, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
