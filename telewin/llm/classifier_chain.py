@@ -21,7 +21,7 @@ from .shared import written
 from .words import LETTERS_DIGITS, Block, blocks, mix
 
 #: Labelled documents that are learned from, at most (about), and inputs that are kept.
-TRAINING_ROWS, INPUTS = 20_000, 4_000
+TRAINING_ROWS, INPUTS = 12_000, 2_000
 #: Bytes of the word beginnings.
 BEGINNINGS = (4, 5, 6, 7, 8)
 FOLDS = 5
@@ -141,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str] | None = None,
         F.count(F.lit(1)).alias("n"), F.sum(decisive).alias("bad")
     )
     excess = (F.col("bad") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share) + 1)
-    chosen = counts.where("n >= 3").withColumn("z", excess).where("z >= 2").orderBy(F.desc("z"), "x").limit(INPUTS).collect()
+    chosen = counts.where("n >= 3").withColumn("z", excess).where("z >= 3").orderBy(F.desc("z"), "x").limit(INPUTS).collect()
     inputs = np.array(sorted(r["x"] for r in chosen), dtype=np.int64)
     certain = np.array(sorted(r["x"] for r in chosen if r["bad"] == r["n"] and r["n"] >= 5), dtype=np.int64)
     rows = _narrowed(sample, categories, inputs).orderBy("doc_id").collect()  # as many as the sample has
