@@ -13,6 +13,7 @@ rough time order is checked without being shuffled.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from telewin.operators.scan import (
+    ARRIVAL,
     CHUNK,
     CHUNK_OFFSETS,
     earlier_chunks,
@@ -42,15 +43,23 @@ def flag_late(
     chunk_offsets: int = CHUNK_OFFSETS,
     reached: DataFrame | None = None,
     work: str | None = None,
+    arrived: str | None = None,
 ) -> DataFrame:
     """Attach the ``late`` flag to every record.
 
     ``part`` names the column of the partition whose order counts: the source
     partition, or the partition records were re-keyed into. ``reached`` gives
     the stream time per partition from records before these, if there were any.
+
+    Offsets order the records of one source partition only. Where ``part`` brings
+    several together, ``arrived`` names the column to order them by, such as the
+    topic's append time in ms; chunks are then cut every ``chunk_offsets`` steps of it.
     """
+    if obs.isStreaming:
+        raise ValueError("the late rule needs the arrival order of a batch; streams run the ledger")
     grace = grace_ms(size_ms) if grace is None else grace
-    rows = with_chunk(obs, chunk_offsets)
+    rows = with_chunk(obs, chunk_offsets, arrived or "off")
+    order = (arrived, "part", "off") if arrived else ARRIVAL
     staged = stage(_suspects(rows, size_ms, part, grace, reached), work, "suspects")
     if not staged.count:
         return obs.withColumn(LATE, F.lit(False))
@@ -58,7 +67,7 @@ def flag_late(
 
     on = [part, CHUNK]
     clean = rows.join(suspects, on, "left_anti").withColumn(LATE, F.lit(False))
-    here = F.max("ts_ms").over(up_to_here([part]))
+    here = F.max("ts_ms").over(up_to_here([part], order))
     scanned = (
         assign_window(rows, size_ms)
         .join(suspects, on)

@@ -19,19 +19,20 @@ CHUNK_OFFSETS = 1 << 16
 ARRIVAL = ("off", "part")
 
 
-def with_chunk(obs: DataFrame, chunk_offsets: int = CHUNK_OFFSETS) -> DataFrame:
-    return obs.withColumn(CHUNK, F.call_function("div", F.col("off"), F.lit(chunk_offsets)))
+def with_chunk(obs: DataFrame, chunk_offsets: int = CHUNK_OFFSETS, by: str = "off") -> DataFrame:
+    """Cut the log every ``chunk_offsets`` steps of the column that orders arrivals."""
+    return obs.withColumn(CHUNK, F.call_function("div", F.col(by), F.lit(chunk_offsets)))
 
 
 def arrival() -> Column:
     return F.struct(*ARRIVAL)
 
 
-def up_to_here(by: Sequence[str]) -> WindowSpec:
+def up_to_here(by: Sequence[str], order: Sequence[str] = ARRIVAL) -> WindowSpec:
     """The records of a chunk up to the current one."""
     return (
         Window.partitionBy(*by, CHUNK)
-        .orderBy(*ARRIVAL)
+        .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
 

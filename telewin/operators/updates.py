@@ -42,7 +42,7 @@ def count_updates(
 def max_updates(
     obs: DataFrame,
     size_ms: int = HALF_MINUTE_MS,
-    nan: str = "lowest",
+    nan: str = "replay",
     chunk_offsets: int = CHUNK_OFFSETS,
 ) -> DataFrame:
     """Running winner per key and window in arrival order.

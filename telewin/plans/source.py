@@ -1,10 +1,11 @@
 """The observation stream the two jobs start from."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from telewin.operators.records import valid_records
 from telewin.settings import JobSettings
 from telewin.sources.payloads import (
+    OPEN_RESPONSE,
     from_framed_avro,
     from_json_key,
     from_json_response,
@@ -17,17 +18,20 @@ def decoded(records: DataFrame, settings: JobSettings) -> DataFrame:
     """Topic rows as observations, by the payload format the settings name."""
     key, value = F.col("key"), F.col("value")
     on_bad = "fail" if settings.on_bad == "fail" else "null"
+    key_shape = T.StructType.fromDDL(settings.key_fields)
+    more = T.StructType.fromDDL(settings.value_fields) if settings.value_fields else T.StructType()
+    value_shape = T.StructType([*OPEN_RESPONSE.fields, *more.fields])
     key = (
         from_framed_avro(key, settings.key_schemas, settings.key_reader_schema)
         if settings.key_schemas
-        else from_json_key(key, on_bad=on_bad)
+        else from_json_key(key, key_shape, on_bad)
     )
     value = (
         union_response(
             from_framed_avro(value, settings.value_schemas, settings.value_reader_schema)
         )
         if settings.value_schemas
-        else from_json_response(value, on_bad=on_bad)
+        else from_json_response(value, value_shape, on_bad)
     )
     return observations_from(records, key, value)
 

@@ -20,6 +20,9 @@ class JobSettings:
     value_schemas: Mapping[int, str] = field(default_factory=dict)
     key_reader_schema: str | None = None
     value_reader_schema: str | None = None
+    # JSON payloads: the fields of a key, and those a response carries besides the known ones.
+    key_fields: str = "ep string"
+    value_fields: str | None = None
     # Connector and client properties laid over the built-in ones.
     options: Mapping[str, str] = field(default_factory=dict)
     cadence: str = CADENCE

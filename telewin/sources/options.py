@@ -3,13 +3,23 @@
 from collections.abc import Mapping
 
 
-def client_option(name: str) -> str:
-    """Spell a plain client property the way the connector wants it, behind ``kafka.``.
+# The connector's own options; every other property is the client's.
+CONNECTOR = frozenset(
+    name.lower()
+    for name in (
+        "assign subscribe subscribePattern topic includeHeaders startingOffsets startingTimestamp "
+        "startingOffsetsByTimestamp startingOffsetsByTimestampStrategy endingOffsets endingTimestamp "
+        "endingOffsetsByTimestamp failOnDataLoss kafkaConsumer.pollTimeoutMs fetchOffset.numRetries "
+        "fetchOffset.retryIntervalMs maxOffsetsPerTrigger minOffsetsPerTrigger maxTriggerDelay minPartitions "
+        "maxRecordsPerPartition groupIdPrefix kafka.group.id"
+    ).split()
+)
+
 
-    Client properties are dotted and in lower case, the connector's own options are not.
-    """
-    plain = "." in name and name.islower() and not name.startswith("kafka.")
-    return f"kafka.{name}" if plain else name
+def client_option(name: str) -> str:
+    """Spell a client property the way the connector wants it, behind ``kafka.``."""
+    own = name.lower() in CONNECTOR or name.lower().startswith("kafka.")
+    return name if own else f"kafka.{name}"
 
 
 def overlay(defaults: Mapping[str, str], user: Mapping[str, str] | None = None) -> dict[str, str]:

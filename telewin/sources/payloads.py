@@ -125,6 +125,10 @@ OPEN_RESPONSE = T.StructType(
 )
 
 
+NOT_FINITE = ("NaN", "Infinity", "-Infinity")
+_CORRUPT = "_corrupt"
+
+
 def _json_mode(on_bad: str) -> dict[str, str]:
     return {"mode": "FAILFAST" if on_bad == "fail" else "PERMISSIVE"}
 
@@ -133,10 +137,15 @@ def split_number(number: Column) -> Column:
     """A JSON value as ``lng`` (whole numbers) or ``dbl``; any other value is kept as ``other``."""
     kind = F.schema_of_variant(number)
     whole = kind == "BIGINT"
-    real = kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT")
+    # JSON has no spelling for NaN and infinities; they are written as these texts.
+    odd = (kind == "STRING") & F.try_variant_get(number, "$", "string").isin(*NOT_FINITE)
+    odd = F.coalesce(odd, F.lit(False))
+    real = kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT") | odd
     return F.struct(
         F.when(whole, F.try_variant_get(number, "$", "bigint")).alias("lng"),
-        F.when(real, F.try_variant_get(number, "$", "double")).alias("dbl"),
+        F.when(odd, F.try_variant_get(number, "$", "string").try_cast("double"))
+        .when(real, F.try_variant_get(number, "$", "double"))
+        .alias("dbl"),
         F.when(~whole & ~real, number).alias("other"),
     )
 
@@ -176,7 +185,13 @@ def reading_has_other(df_schema: T.StructType, column: str = "value") -> bool:
 def from_json_key(
     data: Column, shape: T.StructType = schema.KEY, on_bad: str = "null"
 ) -> Column:
-    return F.from_json(data.cast("string"), shape, _json_mode(on_bad))
+    """Decode a JSON key. Malformed text gives a null key, which is no device, or fails the query."""
+    if on_bad == "fail":
+        return F.from_json(data.cast("string"), shape, _json_mode(on_bad))
+    watched = T.StructType([*shape.fields, T.StructField(_CORRUPT, T.StringType())])
+    options = {**_json_mode(on_bad), "columnNameOfCorruptRecord": _CORRUPT}
+    parsed = F.from_json(data.cast("string"), watched, options)
+    return F.when(parsed.getField(_CORRUPT).isNull(), parsed.dropFields(_CORRUPT))
 
 
 def to_json_key(key: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from telewin.operators.compaction import BATCH, latest
 from telewin.streaming.run import to_batches
@@ -28,11 +29,20 @@ def to_table(
     )
 
 
-def read_updates(spark: SparkSession, path: str) -> DataFrame:
-    """All updates, with the trigger each came from."""
-    return spark.read.parquet(path).withColumn(BATCH, F.col(BATCH).cast("bigint"))
+def read_updates(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+    """All updates, with the trigger each came from.
+
+    With the ``schema`` of the rows, a table that no trigger has written yet is empty.
+    """
+    if schema is None:
+        return spark.read.parquet(path).withColumn(BATCH, F.col(BATCH).cast("bigint"))
+    whole = StructType([*schema.fields, StructField(BATCH, LongType())])
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], whole)
+    return spark.read.schema(whole).parquet(path)
 
 
-def read_latest(spark: SparkSession, path: str) -> DataFrame:
+def read_latest(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
     """The windowed table as it stands after the last trigger."""
-    return latest(read_updates(spark, path))
+    return latest(read_updates(spark, path, schema))

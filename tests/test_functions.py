@@ -198,3 +198,26 @@ def test_avro_needs_schemas():
 
 def test_schema_matches_accessors():
     assert schema.OBSERVATION.fieldNames() == ["key", "value", "part", "off"]
+
+
+def test_malformed_keys_are_null_and_not_finite_readings_return(spark):
+    from telewin.sources.payloads import from_json_key, from_json_response
+
+    keys = spark.createDataFrame([('{"ep":"a"}',), ("{broken",), ("{}",)], "k string")
+    got = [r[0] for r in keys.select(from_json_key(F.col("k"))).collect()]
+    assert [None if k is None else k.ep for k in got] == ["a", None, None]
+    assert got[1] is None
+    body = '{"timestamp":1,"path":"/p","rep":{"body":{"content":{"path":"/p","value":%s}}}}'
+    texts = [body % v for v in ('"NaN"', '"Infinity"', '"-Infinity"', "1.5", '"on"')]
+    rows = spark.createDataFrame([(t,) for t in texts], "v string").select(from_json_response(F.col("v")).alias("v"))
+    values = [str(r[0]) for r in rows.select("v.rep.body.content.value.dbl").collect()]
+    assert values == ["nan", "inf", "-inf", "1.5", "None"]
+
+
+@pytest.mark.parametrize(
+    "name,want", [("acks", "kafka.acks"), ("retries", "kafka.retries"), ("maxOffsetsPerTrigger", "maxOffsetsPerTrigger")]
+)
+def test_client_properties_reach_the_client(name, want):
+    from telewin.sources.options import client_option
+
+    assert client_option(name) == want

@@ -74,3 +74,14 @@ def test_stream_time_carries_over(spark):
     assert flagged(valid(spark, second), grace=0, reached=reached) == {2}
     kept = drop_late(valid(spark, second), SIZE, grace=0, reached=reached)
     assert [r.off for r in kept.collect()] == [3]
+
+
+def test_rekeyed_records_are_ordered_by_arrival(spark):
+    """Two source partitions in perfect order, one ten times busier, brought into one partition."""
+    rows = [observation(i, BASE_MS + i * 1000, part=0) for i in range(1000)]
+    rows += [observation(i, BASE_MS + i * 10_000, part=1) for i in range(100)]
+    obs = valid(spark, rows).selectExpr("*", "0 as rpart", "ts_ms as arrived")
+    by_offset = flag_late(obs, SIZE, part="rpart", grace=0).where("late").count()
+    by_arrival = flag_late(obs, SIZE, part="rpart", grace=0, arrived="arrived", chunk_offsets=60_000)
+    assert by_offset > 0
+    assert by_arrival.where("late").count() == 0 and by_arrival.count() == len(rows)

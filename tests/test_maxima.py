@@ -46,7 +46,7 @@ def test_max_updates_equal_fold_steps(spark, seed, nan, chunk):
 def test_plain_updates_equal_fold_steps_without_nan(spark, chunk):
     rows = random_observations(7, missing=0.1)
     steps, _ = fold_steps(rows, SIZE)
-    got = max_updates(valid(spark, rows), SIZE, chunk_offsets=chunk)
+    got = max_updates(valid(spark, rows), SIZE, nan="lowest", chunk_offsets=chunk)
     assert sorted((r.off, r.best.off) for r in got.collect()) == steps
 
 
