@@ -26,5 +26,5 @@ def overlay(defaults: Mapping[str, str], user: Mapping[str, str] | None = None)
     """``defaults`` with the caller's properties on top; no properties is fine."""
     merged = dict(defaults)
     for name, value in (user or {}).items():
-        merged[client_option(name)] = str(value)
+        merged[name if name in defaults else client_option(name)] = str(value)
     return merged
