@@ -9,11 +9,11 @@ far off. A second odd sketch, of the whole set, bounds the difference of the
 sets from below and so drops others with certainty. Both are conditions of the
 join that pairs a bucket with its centers. What is left is confirmed on whole sets.
 
-No bucket is ever paired with itself. Each round ties the members of a bucket
-to a few centers of it; members that have come to be in one component need no
-further look, a center that has been held against all others leaves the
-bucket, and the rounds end when no bucket holds two components. So no
-candidate pair of different components stays unlooked at.
+No bucket is ever paired with itself. First the members of a bucket are held
+against one center of it, then against a few. By then almost all of a group of copies
+are one component, and members of one component need no further look. A last
+round holds those outside a bucket's largest component against its members, in
+a grid of bounded cells. So no candidate pair of different components stays unlooked at.
 """
 
 from __future__ import annotations
@@ -39,6 +39,10 @@ SLACK = 5.5
 SKETCH_BITS = 512
 #: Of the sketch of the whole set.
 PARITY_BITS = 1024
+#: Centers of a bucket in the rounds before the last.
+STARS = (1, 8)
+#: Most outsiders and members, about, that meet in one cell of the last round.
+CELL = (1024, 4096)
 
 _U = np.uint64
 
@@ -133,12 +137,6 @@ def differing(left: str, right: str, bits: int) -> Column:
     return sum(words[1:], words[0])
 
 
-def estimate(left: str, right: str, samples: int) -> Column:
-    """Similarity of two documents by their odd sketches; null where it is too low to tell."""
-    inner = F.lit(1.0) - F.lit(2.0 / SKETCH_BITS) * differing(left, right, SKETCH_BITS)
-    return F.when(inner > 0, 1 + F.lit(SKETCH_BITS / (4.0 * samples)) * F.log(inner))
-
-
 def possible(percent: int, samples: int) -> Column:
     """Whether the rows' sizes and sketches (``n``, ``odd``, ``parity``, and ``c_`` of the center) allow a link.
 
@@ -147,7 +145,19 @@ def possible(percent: int, samples: int) -> Column:
     """
     sizes = F.least("n", "c_n") * 100 >= F.greatest("n", "c_n") * percent
     apart = differing("parity", "c_parity", PARITY_BITS) * (100 + percent) <= (F.col("n") + F.col("c_n")) * (100 - percent)
-    return sizes & apart & (estimate("odd", "c_odd", samples) >= least_estimate(percent, samples))
+    return sizes & apart & (differing("odd", "c_odd", SKETCH_BITS) <= most_differing(percent, samples))
+
+
+def estimate(differ: int, samples: int) -> float:
+    """Similarity of two documents whose odd sketches differ in so many bits."""
+    inner = 1 - 2 * differ / SKETCH_BITS
+    return 1 + SKETCH_BITS / (4 * samples) * math.log(inner) if inner > 0 else -math.inf
+
+
+def most_differing(percent: int, samples: int) -> int:
+    """The most bits in which odd sketches differ whose estimate is not too low."""
+    least = least_estimate(percent, samples)
+    return max(d for d in range(SKETCH_BITS) if estimate(d, samples) >= least)
 
 
 def least_estimate(percent: int, samples: int) -> float:
@@ -200,50 +210,129 @@ def linked(docs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
     members = written(keys.join(shared, "band", "left_semi"), "members")
     comps = spark.createDataFrame([], "rep long, root long")
     tested = spark.createDataFrame([], "u long, v long")
-    centers_each, turn = 1, 0
-    while True:
+    for turn, stars in enumerate((*STARS, None)):
         placed = members.join(comps, "rep", "left").select("band", "rep", F.coalesce("root", "rep").alias("root"))
         open_ = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
         live = written(placed.join(open_.select("band"), "band", "left_semi"), "live")
         if live.isEmpty():
-            return comps
-        deal = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(centers_each)) if centers_each > 1 else F.lit(0)
-        centers = written(
-            live.groupBy("band", deal.alias("deal"))
-            .agg(F.min("rep").alias("center"), F.min_by("root", "rep").alias("center_root"))
-            .select("band", "center", "center_root"),
-            "centers",
-        )
-        held = centers.join(
-            sketch.select(F.col("rep").alias("center"), *[F.col(c).alias(f"c_{c}") for c in ("n", "odd", "parity")]),
-            "center",
-        ).withColumnRenamed("band", "c_band")
-        near = (F.col("band") == F.col("c_band")) & (F.col("root") != F.col("center_root")) & possible(percent, samples)
-        pairs = (
-            live.join(sketch, "rep")
-            .join(held, near)
-            .select(F.least("rep", "center").alias("u"), F.greatest("rep", "center").alias("v"))
-            .distinct()
-            .join(tested, ["u", "v"], "left_anti")
-        )
-        pairs = written(pairs, "pairs")
-        links = confirmed(pairs, docs, percent, k)
-        # Links between components found so far; their components join the old ones.
-        lead = comps.select(F.col("rep").alias("x"), "root")
-        ends = links.join(lead.select(F.col("x").alias("u"), F.col("root").alias("ru")), "u", "left").join(
-            lead.select(F.col("x").alias("v"), F.col("root").alias("rv")), "v", "left"
-        )
-        merged = components(ends.select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v")))
-        moved = comps.join(merged.select(F.col("u").alias("root"), F.col("root").alias("to")), "root", "left").select(
-            "rep", F.coalesce("to", "root").alias("root")
-        )
-        fresh = merged.select(F.col("u").alias("rep"), "root").join(comps, "rep", "left_anti")
-        comps = written(moved.unionByName(fresh), "comps")
+            break
+        if stars:
+            centers = written(_stars(live, stars, turn), "centers")
+            members = live.select("band", "rep").join(
+                centers.select("band", F.col("center").alias("rep")), ["band", "rep"], "left_anti"
+            )
+            held = centers.join(
+                sketch.select(F.col("rep").alias("center"), *[F.col(c).alias(f"c_{c}") for c in ("n", "odd", "parity")]),
+                "center",
+            )
+            near = (F.col("root") != F.col("center_root")) & possible(percent, samples)
+            pairs = live.join(sketch, "rep").join(held, "band").where(near)
+            pairs = pairs.select(F.least("rep", "center").alias("u"), F.greatest("rep", "center").alias("v"))
+        else:
+            cells = _cells(live).join(sketch, "rep").repartition("band", "block", "slice")
+            cells = cells.sortWithinPartitions("band", "block", "slice", F.desc("outsider")).select(*CELL_COLUMNS)
+            pairs = cells.mapInArrow(lambda batches: _in_cells(batches, percent, samples), "u long, v long")
+        pairs = written(pairs.distinct().join(tested, ["u", "v"], "left_anti"), "pairs")
         tested = tested.unionByName(pairs)
-        members = live.select("band", "rep").join(
-            centers.select("band", F.col("center").alias("rep")), ["band", "rep"], "left_anti"
-        )
-        centers_each, turn = centers_each * 4, turn + 1
+        comps = written(_joined(comps, confirmed(pairs, docs, percent, k)), "comps")
+    return comps
+
+
+def _stars(live: DataFrame, stars: int, turn: int) -> DataFrame:
+    """Up to ``stars`` centers of every bucket."""
+    deal = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(stars))
+    least = live.groupBy("band", deal.alias("deal")).agg(F.min("rep").alias("center"), F.min_by("root", "rep").alias("center_root"))
+    return least.select("band", "center", "center_root")
+
+
+def _cells(live: DataFrame) -> DataFrame:
+    """Rows outside their bucket's largest component, and all rows, dealt to the cells of a grid.
+
+    An outsider meets every row of its bucket in exactly one cell.
+    """
+    sizes = live.groupBy("band", "root").agg(F.count(F.lit(1)).alias("size"))
+    grid = sizes.groupBy("band").agg(
+        F.max_by("root", F.struct("size", "root")).alias("main"), F.sum("size").alias("rows"), F.max("size").alias("most")
+    )
+    grid = grid.select(
+        "band",
+        "main",
+        F.ceil((F.col("rows") - F.col("most")) / CELL[0]).cast("int").alias("blocks"),
+        F.ceil(F.col("rows") / CELL[1]).cast("int").alias("slices"),
+    )
+    dealt = live.join(written(grid, "grid"), "band")
+
+    def own(seed: int, of: str) -> Column:
+        return F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(of)).cast("int")
+
+    def each(of: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+
+    key = ["band", "rep", "root"]
+    outsiders = dealt.where("root <> main").select(*key, own(1, "blocks").alias("block"), each("slices").alias("slice"), F.lit(True).alias("outsider"))
+    return outsiders.unionByName(
+        dealt.select(*key, each("blocks").alias("block"), own(2, "slices").alias("slice"), F.lit(False).alias("outsider"))
+    )
+
+
+CELL_COLUMNS = ("band", "block", "slice", "outsider", "rep", "root", "n", "odd", "parity")
+
+
+def _in_cells(batches: Iterator[pa.RecordBatch], percent: int, samples: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of an outsider and a member of its cell that may be linked; rows come by cell, outsiders first."""
+    most, cell, held = most_differing(percent, samples), None, []
+    for batch in batches:
+        flat = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
+        band, block, part, outsider = flat[:4]
+        lists = [batch.column(i).flatten().to_numpy().view(_U).reshape(batch.num_rows, -1) for i in (7, 8)]
+        rows = (*flat[4:], *lists)
+        new = np.ones(batch.num_rows, dtype=bool)
+        new[1:] = (band[1:] != band[:-1]) | (block[1:] != block[:-1]) | (part[1:] != part[:-1]) | (outsider[1:] != outsider[:-1])
+        edges = [*np.flatnonzero(new), batch.num_rows]
+        found = []
+        for lo, hi in zip(edges, edges[1:]):
+            here = (band[lo], block[lo], part[lo])
+            if here != cell:
+                cell, held = here, []
+            run = [x[lo:hi] for x in rows]
+            if outsider[lo]:
+                held.append(run)
+                continue
+            for centers in held:
+                step = max(1, 65_536 // len(centers[0]))
+                found += [_near(centers, [x[i : i + step] for x in run], percent, most) for i in range(0, hi - lo, step)]
+        u, v = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+
+
+def _near(centers: list[np.ndarray], members: list[np.ndarray], percent: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs for which ``possible`` holds."""
+    (c_rep, c_root, c_n, c_odd, c_parity), (rep, root, n, odd, parity) = centers, members
+    sizes = np.minimum(c_n[:, None], n) * 100 >= np.maximum(c_n[:, None], n) * percent
+    i, j = np.nonzero(sizes & (c_root[:, None] != root))
+    for left, right, limit in (
+        (c_parity, parity, (c_n[i] + n[j]) * (100 - percent) // (100 + percent)),
+        (c_odd, odd, np.full(len(i), most)),
+    ):
+        differ = np.zeros(len(i), dtype=np.int64)
+        for word in range(left.shape[1]):
+            differ += np.bitwise_count(left[i, word] ^ right[j, word])
+        good = differ <= limit[: len(i)]
+        i, j = i[good], j[good]
+    return c_rep[i], rep[j]
+
+
+def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """``comps`` after ``links`` between their nodes, or nodes not in them yet."""
+    lead = comps.select(F.col("rep").alias("x"), "root")
+    ends = links.join(lead.select(F.col("x").alias("u"), F.col("root").alias("ru")), "u", "left").join(
+        lead.select(F.col("x").alias("v"), F.col("root").alias("rv")), "v", "left"
+    )
+    merged = components(ends.select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v")))
+    moved = comps.join(merged.select(F.col("u").alias("root"), F.col("root").alias("to")), "root", "left").select(
+        "rep", F.coalesce("to", "root").alias("root")
+    )
+    return moved.unionByName(merged.select(F.col("u").alias("rep"), "root").join(comps, "rep", "left_anti"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:

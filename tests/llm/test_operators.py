@@ -281,3 +281,40 @@ def test_license_places_and_templates(odd):
     classifier_chain.toxicity, lambda d, x: raking.calibrated(d), lambda d, x: license_templates.scan(d)])
 def test_empty_tables(odd, labels, run):
     assert run(odd.limit(0), labels.limit(0)).count() == 0
+
+
+def test_cells_hold_what_stars_would(spark, docs, monkeypatch):
+    """The last round alone, over a grid of tiny cells, finds the components that all rounds find."""
+    whole = {tuple(r) for r in odd_sketch.near_duplicates(docs, 85).collect()}
+    monkeypatch.setattr(odd_sketch, "STARS", ())
+    monkeypatch.setattr(odd_sketch, "CELL", (2, 3))
+    assert {tuple(r) for r in odd_sketch.near_duplicates(docs, 85).collect()} == whole
+
+
+def test_near_counts_bits_of_whole_words():
+    random = np.random.default_rng(5)
+    rows = 40
+    base = random.integers(0, 2**64, 24, dtype=np.uint64)
+    flips = [int(random.integers(0, 6)) for _ in range(rows)]
+    words = np.tile(base, (rows, 1))
+    for i, flip in enumerate(flips):
+        for bit in random.choice(24 * 64, flip * 20, replace=False):
+            words[i, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    n = random.integers(400, 600, rows)
+    side = [np.arange(rows), np.arange(rows), n, words[:, :8], words[:, 8:]]
+    most = odd_sketch.most_differing(85, odd_sketch.bands_for(85) * odd_sketch.ROWS)
+
+    def far(x, y):
+        return sum((int(p) ^ int(q)).bit_count() for p, q in zip(x, y))
+
+    expected = {
+        (i, j)
+        for i in range(rows)
+        for j in range(rows)
+        if i != j
+        and min(n[i], n[j]) * 100 >= max(n[i], n[j]) * 85
+        and far(words[i, 8:], words[j, 8:]) * 185 <= (n[i] + n[j]) * 15
+        and far(words[i, :8], words[j, :8]) <= most
+    }
+    assert expected and len(expected) < rows * (rows - 1)
+    assert set(zip(*(x.tolist() for x in odd_sketch._near(side, side, 85, most)))) == expected
