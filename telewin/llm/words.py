@@ -1,6 +1,6 @@
 """Words of many texts at once, as 64-bit hashes, from the bytes of an Arrow column.
 
-Texts are looked at in blocks of a few MB and always whole: a text longer than a
+Texts are looked at in blocks of half a MB and always whole: a text longer than a
 block is a block of its own. Only A-Z are folded to lower case.
 """
 
@@ -12,7 +12,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 500_000
 
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
