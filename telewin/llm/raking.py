@@ -12,18 +12,21 @@ at most NAMED + 1 of each, whatever the number of sources.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+import string
+from collections.abc import Mapping
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .shared import free_name, written
-from .words import LETTERS_DIGITS, blocks
 
 NAMED, TOPICS = 500, 8
 #: Bytes from which a word says something of the topic.
 TOPIC_WORD = 6
+#: What stands between words of lower-cased texts.
+SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A letter for each topic.
+CLASSES = string.ascii_lowercase[:TOPICS]
 ROUNDS, CLOSE = 500, 1e-10
 REST, NONE = "(rest)", "(none)"
 
@@ -37,24 +40,19 @@ def with_topic(docs: DataFrame, topic: str, tokens: str) -> DataFrame:
 
     Words of ``TOPIC_WORD`` bytes or more belong to one of ``TOPICS`` classes by their
     hash; the topic is the class with the most words, the first of equal ones.
+    Column functions only: each text becomes a string of its words' classes.
     """
-    at = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in blocks(batch.column(at), LETTERS_DIGITS):
-                long = (block.end - block.start) >= TOPIC_WORD
-                kind = (block.hashes()[long] % np.uint64(TOPICS)).astype(np.int64)
-                table = np.bincount(block.doc[long] * TOPICS + kind, minlength=block.texts * TOPICS)
-                best = table.reshape(-1, TOPICS).argmax(1).astype(np.int32)
-                part = batch.slice(block.first, block.texts)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(best), pa.array(block.counts().astype(np.int64))],
-                    names=[*batch.schema.names, topic, tokens],
-                )
-
-    schema = docs.withColumn(topic, F.lit(0)).withColumn(tokens, F.lit(0).cast("long")).schema
-    return docs.mapInArrow(run, schema)
+    words, classes, counts = (free_name(docs, c) for c in ("words", "classes", "counts"))
+    split = F.split(F.lower(F.coalesce("text", F.lit(""))), SEPARATORS)
+    kind = lambda w: F.substring(F.lit(CLASSES), F.pmod(F.xxhash64(w), F.lit(TOPICS)).cast("int") + 1, F.lit(1))
+    long = F.filter(words, lambda w: F.octet_length(w) >= TOPIC_WORD)
+    of = [F.length(classes) - F.length(F.replace(classes, F.lit(c), F.lit(""))) for c in CLASSES]
+    return (
+        docs.withColumn(words, split)
+        .select(*docs.columns, F.array_join(F.transform(long, kind), "").alias(classes), F.size(F.filter(words, lambda w: w != "")).cast("long").alias(tokens))
+        .select(*docs.columns, F.array(*of).alias(counts), tokens)
+        .select(*docs.columns, (F.array_position(counts, F.array_max(counts)) - 1).cast("int").alias(topic), tokens)
+    )
 
 
 def raked(tokens: np.ndarray, codes: np.ndarray, targets: list[np.ndarray]) -> np.ndarray:

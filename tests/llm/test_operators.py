@@ -229,6 +229,17 @@ def test_raking_meets_its_targets(odd, docs):
     assert rows.count() == len(TEXTS) and rows.columns[-1] == "kept_"
 
 
+def test_topics_and_words(odd, spark):
+    """The words of every text and the class most long words fall into, counted one by one."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+    long = sorted({w for _, t in TEXTS for w in words(t) if len(w.encode()) >= raking.TOPIC_WORD})
+    rows = spark.createDataFrame([(w,) for w in long], "w string")
+    kind = {r.w: r.k for r in rows.select("w", F.pmod(F.xxhash64("w"), F.lit(raking.TOPICS)).alias("k")).collect()}
+    for r in raking.with_topic(odd, "topic", "tokens").collect():
+        counts = np.bincount([kind[w] for w in words(r.text) if w in kind], minlength=raking.TOPICS)
+        assert (r.tokens, r.topic) == (len(words(r.text)), counts.argmax())
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(1)
     x = np.round(rng.normal(size=(300, 6)), 2)
