@@ -43,6 +43,8 @@ PARITY_BITS = 1024
 STARS = (1, 8)
 #: Most outsiders and members, about, that meet in one cell of the last round.
 CELL = (1024, 4096)
+#: Pairs whose whole sets a task holds at a time.
+CONFIRMED = 256
 
 _U = np.uint64
 
@@ -170,18 +172,20 @@ def least_estimate(percent: int, samples: int) -> float:
 
 def _confirm(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sides = []
-        for column in (2, 3):
-            sets = []
-            for block in blocks(batch.column(column), SPACED):
-                found, at = _shingles(block, k)
-                sets += [found[at[i] : at[i + 1]] for i in range(block.texts)]
-            sides.append(sets)
-        good = np.zeros(batch.num_rows, dtype=bool)
-        for i, (x, y) in enumerate(zip(*sides, strict=True)):
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            good[i] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
-        yield batch.select([0, 1]).filter(pa.array(good))
+        for at in range(0, batch.num_rows, CONFIRMED):
+            part = batch.slice(at, CONFIRMED)
+            sides = []
+            for column in (2, 3):
+                sets = []
+                for block in blocks(part.column(column), SPACED):
+                    found, begin = _shingles(block, k)
+                    sets += [found[begin[i] : begin[i + 1]] for i in range(block.texts)]
+                sides.append(sets)
+            good = np.zeros(part.num_rows, dtype=bool)
+            for i, (x, y) in enumerate(zip(*sides, strict=True)):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good[i] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+            yield part.select([0, 1]).filter(pa.array(good))
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFrame:

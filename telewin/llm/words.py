@@ -91,6 +91,7 @@ def blocks(column: pa.Array, table: np.ndarray) -> Iterator[Block]:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK_BYTES, side="right")) - 1)
         yield _block(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], at, table)
         at = to
+    pa.default_memory_pool().release_unused()  # else idle Python workers keep it
 
 
 def _block(raw: np.ndarray, offsets: np.ndarray, first: int, table: np.ndarray) -> Block:
