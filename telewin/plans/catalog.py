@@ -14,7 +14,7 @@ from telewin.operators.compaction import latest
 from telewin.operators.counts import count_by_window
 from telewin.operators.late import drop_late, flag_late
 from telewin.operators.records import mark_max, rekey_by_resource, valid_records, with_event_time
-from telewin.operators.updates import count_updates, max_updates
+from telewin.operators.updates import count_updates
 from telewin.operators.windows import (
     END,
     HALF_MINUTE_MS,
@@ -267,15 +267,31 @@ def updates_count_by_ep_path_1m(spark: SparkSession, sf_dir: str) -> DataFrame:
     return updates.select(ep().alias("ep_path"), START, END, "off", "n")
 
 
+def marked_paths() -> list[Column]:
+    value = F.col("value")
+    return [record.resource_path(value).alias("path"), F.col("value.path").alias("value_path")]
+
+
 def updates_max_by_ep_path_30s(spark: SparkSession, sf_dir: str) -> DataFrame:
-    updates = max_updates(rekey_by_resource(valid(spark, sf_dir)), HALF_MINUTE_MS)
+    updates = window_max.window_max_updates(valid(spark, sf_dir))
+    best = record.numeric_value(F.col("value")).alias("best_v")
+    return updates.select(
+        ep().alias("ep_path"), START, END, "off", "best_off", best, *marked_paths()
+    )
+
+
+def updates_max_by_ep_path_30s_nan_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    updates = window_max.window_max_updates(valid_records(with_nan(obs(spark, sf_dir))))
+    number = record.numeric_value(F.col("value"))
     return updates.select(
         ep().alias("ep_path"),
         START,
         END,
         "off",
-        F.col("best.off").alias("best_off"),
-        record.numeric_value(F.col("best.value")).alias("best_v"),
+        "best_off",
+        F.isnan(number).alias("best_is_nan"),
+        F.nanvl(number, F.lit(-1.0)).alias("best_v_or_minus_one"),
+        *marked_paths(),
     )
 
 
@@ -495,6 +511,7 @@ QUERIES: dict[str, Query] = {
     "updates_count_by_ep_1m": updates_count_by_ep_1m,
     "updates_count_by_ep_path_1m": updates_count_by_ep_path_1m,
     "updates_max_by_ep_path_30s": updates_max_by_ep_path_30s,
+    "updates_max_by_ep_path_30s_nan_replay": updates_max_by_ep_path_30s_nan_replay,
     "observations_scan": observations_scan,
     "wire_frame_decode": wire_frame_decode,
     "event_time_extract": event_time_extract,

@@ -130,7 +130,27 @@ running as (
               rows between unbounded preceding and current row) as best
   from obs
 )
-select ep_path, {_bounds(HALF_MINUTE_MS)}, off, best.o as best_off, best.v as best_v
+select ep_path, {_bounds(HALF_MINUTE_MS)}, off, best.o as best_off, best.v as best_v,
+       path || '-max' as path, path || '-max' as value_path
+from running"""
+
+# A NaN opens a segment; inside its segment it loses to whatever follows.
+_NAN_UPDATES = f"""with {_NAN},
+segments as (
+  select *, sum(case when isnan(v) then 1 else 0 end) over (
+              partition by ep_path, ts_ms // {HALF_MINUTE_MS} order by off
+              rows between unbounded preceding and current row) as segment
+  from readings
+),
+running as (
+  select *, max(struct_pack(r := case when isnan(v) then '-infinity'::double else v end, o := off, v := v)) over (
+              partition by ep_path, ts_ms // {HALF_MINUTE_MS}, segment order by off
+              rows between unbounded preceding and current row) as best
+  from segments
+)
+select ep_path, {_bounds(HALF_MINUTE_MS)}, off, best.o as best_off, isnan(best.v) as best_is_nan,
+       case when isnan(best.v) then -1.0 else best.v end as best_v_or_minus_one,
+       path || '-max' as path, path || '-max' as value_path
 from running"""
 
 _KEYS = f"""with {_OBS},
@@ -152,6 +172,7 @@ ORACLE: dict[str, str] = {
     "updates_count_by_ep_1m": _count_updates("ep"),
     "updates_count_by_ep_path_1m": _count_updates("ep_path"),
     "updates_max_by_ep_path_30s": _MAX_UPDATES,
+    "updates_max_by_ep_path_30s_nan_replay": _NAN_UPDATES,
     "observations_scan": _SCAN,
     "wire_frame_decode": f"""with {_OBS}
 select off, cast(length(path) as bigint) * 256 + 7 as schema_id, path from obs""",

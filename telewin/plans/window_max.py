@@ -5,7 +5,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from telewin.operators.maxima import max_by_window
 from telewin.operators.records import mark_max, rekey_by_resource
-from telewin.operators.windows import HALF_MINUTE_MS
+from telewin.operators.updates import max_updates
+from telewin.operators.windows import END, HALF_MINUTE_MS, START
 from telewin.plans.source import observations
 from telewin.settings import MaxSettings
 from telewin.sources.payloads import avro_response, to_framed_avro
@@ -32,6 +33,25 @@ def window_max(
     return mark_max(max_by_window(keyed, size_ms, nan, on_bad, **rule))
 
 
+def window_max_updates(
+    obs: DataFrame,
+    size_ms: int = HALF_MINUTE_MS,
+    nan: str = "replay",
+    on_bad: str = "null",
+    **rule,
+) -> DataFrame:
+    """The winner after every record, re-keyed and with both paths marked.
+
+    ``part`` and ``off`` name the record that caused the update, ``value`` is the
+    winning record and ``best_off`` its offset.
+    """
+    updates = max_updates(rekey_by_resource(obs, on_bad), size_ms, nan, **rule)
+    shown = updates.select(
+        "key", START, END, "part", "off", F.col("best.off").alias("best_off"), "best.value"
+    )
+    return mark_max(shown, on_bad)
+
+
 def output_rows(winners: DataFrame, settings: MaxSettings) -> DataFrame:
     """Winners as rows of the output topic."""
     key = value = None
@@ -45,7 +65,13 @@ def output_rows(winners: DataFrame, settings: MaxSettings) -> DataFrame:
 
 
 def start(spark: SparkSession, settings: MaxSettings) -> StreamingQuery:
-    """Publish the winners of each window as they change."""
+    """Publish the winners of each window as they change.
+
+    Without the number of output partitions the producer would scatter the windows
+    of a key, so the job asks for it.
+    """
+    if settings.output_partitions is None:
+        raise ValueError("set output_partitions to the number of partitions of the output topic")
     use_stream_settings(spark)
     winners = window_max(
         observations(spark, settings),

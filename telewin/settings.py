@@ -42,7 +42,7 @@ class MaxSettings(JobSettings):
     name: str = "window-max"
     window_ms: int = HALF_MINUTE_MS
     output_topic: str = "analytics.server1.observations.maxper30sec"
-    # Partitions of the output topic; windows of a key then share one.
+    # Partitions of the output topic, so that windows of a key share one; a start needs it.
     output_partitions: int | None = None
     # Registry ids and schema text of the output; empty means JSON payloads.
     output_key_schema: tuple[int, str] | None = None

@@ -12,11 +12,22 @@ def batch_path(path: str, batch_id: int) -> str:
     return f"{path}/{BATCH}={batch_id}"
 
 
+def _has_later_triggers(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
+    return any(n.startswith(f"{BATCH}=") and n != f"{BATCH}=0" for n in names)
+
+
 def write_batch(batch: DataFrame, path: str, batch_id: int) -> None:
     """Write one trigger's rows under its id.
 
-    A trigger that is run again after a failure replaces what it wrote before.
+    A trigger that is run again after a failure replaces what it wrote before. The
+    first trigger of a new checkpoint refuses a table that holds later triggers: its
+    rows would be mixed with those of another run.
     """
+    if batch_id == 0 and _has_later_triggers(batch.sparkSession, path):
+        raise ValueError(f"{path} holds another run's triggers; a new checkpoint needs a new table")
     batch.write.mode("overwrite").parquet(batch_path(path, batch_id))
 
 

@@ -7,8 +7,9 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
-# Staged tables have a handful of short columns; this many rows stay in the tens of MB.
+# Staged tables are broadcast up to these rows and bytes on disk; keys may be of any width.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 8_000_000
 
 
 def shared_base(spark: SparkSession) -> str:
@@ -41,14 +42,15 @@ def work_dir(spark: SparkSession, name: str) -> str:
 
 
 class Staged(NamedTuple):
-    """A written table and the number of its rows."""
+    """A written table, the number of its rows and its bytes on disk."""
 
     rows: DataFrame
     count: int
+    bytes: int
 
     def sized(self) -> DataFrame:
-        """The table as a join side: broadcast up to ``BROADCAST_ROWS``, else merged."""
-        if self.count <= BROADCAST_ROWS:
+        """The table as a join side: broadcast up to the bounds above, else merged."""
+        if self.count <= BROADCAST_ROWS and self.bytes <= BROADCAST_BYTES:
             return F.broadcast(self.rows)
         return self.rows.hint("merge")
 
@@ -63,4 +65,6 @@ def stage(df: DataFrame, path: str | None = None, name: str = "stage") -> Staged
     path = path or work_dir(spark, name)
     df.write.mode("overwrite").parquet(path)
     rows = spark.read.schema(df.schema).parquet(path)
-    return Staged(rows, rows.count())
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return Staged(rows, rows.count(), files.getContentSummary(folder).getLength())

@@ -15,7 +15,7 @@ from telewin.sources.options import overlay
 from telewin.sources.payloads import to_json_key, to_json_response
 from telewin.sources.topics import read_topic, topic_options
 from telewin.streaming.run import finish
-from telewin.streaming.tables import read_updates, to_table
+from telewin.streaming.tables import read_updates, to_table, write_batch
 from telewin.streaming.topics import read_topic_rows, topic_rows
 from telewin.workspace import job_checkpoint, shared_base, stage, work_dir
 
@@ -221,6 +221,19 @@ def test_a_job_returns_to_its_checkpoint():
         job_checkpoint(Session("local[2]"), None, "job")
 
 
+def test_max_job_asks_for_the_output_partitions(spark):
+    with pytest.raises(ValueError, match="output_partitions"):
+        window_max.start(spark, MaxSettings(checkpoint="x"))
+
+
+def test_a_new_checkpoint_refuses_the_table_of_another_run(spark, tmp_path):
+    path = f"{tmp_path}/table"
+    for batch_id in (0, 0, 1):
+        write_batch(spark.range(2), path, batch_id)
+    with pytest.raises(ValueError, match="another run"):
+        write_batch(spark.range(2), path, 0)
+
+
 def test_positional_arguments_and_their_defaults():
     assert parse(["counts"]) == ("counts", CountSettings())
     assert parse(["max"]) == ("max", MaxSettings())
@@ -269,9 +282,17 @@ def test_staged_tables_keep_rows_and_types(spark):
     assert "FileScan" in staged.rows._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("count,join", [(1, "BroadcastHashJoin"), (10**9, "SortMergeJoin")])
-def test_only_counted_small_tables_are_broadcast(spark, count, join):
-    staged = stage(spark.range(5))._replace(count=count)
+@pytest.mark.parametrize(
+    "size,join",
+    [
+        ({"count": 1}, "BroadcastHashJoin"),
+        ({"count": 10**9}, "SortMergeJoin"),
+        ({"bytes": 10**9}, "SortMergeJoin"),
+    ],
+)
+def test_only_counted_small_tables_are_broadcast(spark, size, join):
+    staged = stage(spark.range(5))._replace(**size)
+    assert stage(spark.range(5)).bytes > 0
     joined = spark.range(100).join(staged.sized(), "id")
     assert join in joined._jdf.queryExecution().executedPlan().toString()
     assert joined.count() == 5
