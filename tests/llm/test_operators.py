@@ -277,6 +277,41 @@ def test_main_text(spark):
     assert host_suffixes.main_text(df.limit(0)).count() == 0
 
 
+def test_class_names_do_not_take_articles_away():
+    text = lambda page: [b.text for b in host_suffixes.page_blocks(page) if b.kind == host_suffixes.KEPT]
+    for page in (
+        '<article class="post comments-open"><p>t</article>',
+        '<main class="no-sidebar"><p>t</main>',
+        '<div class="layout has-sidebar"><article>t</article></div>',
+        '<div class="sidebar"><article>t</article><p>side</div>',
+        '<form id="all"><article>t</article><p>field</form>',
+        '<article class="share">t<div class="share">buttons</div><nav>n</nav></article><div class="site-header">s</div>',
+        '<article>t<div class="comments"><article>c</article></div><article class="comment">d</article></article>',
+        '<main><article>t</article><div id="comments" class="comments-area"><article>c</article></div></main>',
+    ):
+        assert text(page) == ["t"], page
+    page = '<article><h1 class="post-header">h</h1><p class="share-price">p</p>x<math><mi>y</mi></math><object>z</object></article>'
+    assert text(page) == ["h", "p", "xyz"]
+
+
+def test_coverage_keeps_uncovered_and_shared_text(spark):
+    menu, passage = (" ".join(f"{w}{i}" for i in range(12)) for w in ("menu", "passage"))
+    unique = lambda i: " ".join(f"u{i}x{j}" for j in range(12))
+    rows = [
+        *[(i, f"http://a.b/{i}", f"<div>{menu} own{i}</div><p>{passage if i < 3 else unique(100 + i)}<p>{unique(i)}") for i in range(8)],
+        *[(20 + i, f"http://two.b/{i}", f"<div>{menu}</div><p>{unique(20 + i)}") for i in range(2)],
+        *[(30 + i, f"http://main.b/{i}", f"<div>Home News</div><div>{unique(40 + i)}</div><article>a{i}</article>") for i in range(3)],
+        *[(50 + i, f"http://copy.b/{i}", f"<p>{passage}") for i in range(3)],
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text.split("\n\n") for r in host_suffixes.main_text(df).collect()}
+    for i in range(8):  # the menu once, each own word, and the passage on all of its pages
+        assert got[i] == [f"{menu} own0" if i == 0 else f"own{i}", passage if i < 3 else unique(100 + i), unique(i)]
+    assert (got[20], got[21]) == ([menu, unique(20)], [unique(21)])
+    assert [got[30 + i] for i in range(3)] == [["Home News"] * (i == 0) + [unique(40 + i), f"a{i}"] for i in range(3)]
+    assert [got[50 + i] for i in range(3)] == [[passage], [""], [""]]
+
+
 def test_license_places_and_templates(odd):
     got = {r.doc_id: r for r in license_templates.scan(odd).collect()}
     r = got[10]
