@@ -5,9 +5,9 @@ are raked: scaled in turn so that each of the three marginals meets its target,
 do. A document is sampled with a probability that gives its cell the raked
 share of the token budget.
 
-Counting and sampling are Spark's; the raking works on one number per cell. Sources (and
-languages) with less than a ``NAMED``-th of the tokens share one cell value, so there are
-at most NAMED + 1 of each, whatever the number of sources.
+Counting and sampling are Spark's; the raking works on one number per cell. Every source
+and language is a marginal value of its own, however small. Up to ``LOCAL`` cells are
+raked on the driver; more stay a table that is joined with the factors of its marginals, round by round.
 """
 
 from __future__ import annotations
@@ -18,9 +18,12 @@ from collections.abc import Mapping
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from ..workspace import work_dir
 from .shared import free_name, written
 
-NAMED, TOPICS = 500, 8
+TOPICS = 8
+#: Cells that are raked on the driver, at most.
+LOCAL = 50_000
 #: Bytes from which a word says something of the topic.
 TOPIC_WORD = 6
 #: What stands between words of lower-cased texts.
@@ -28,7 +31,8 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A letter for each topic.
 CLASSES = string.ascii_lowercase[:TOPICS]
 ROUNDS, CLOSE = 500, 1e-10
-REST, NONE = "(rest)", "(none)"
+NONE = "(none)"
+MARGINALS = ("source", "lang", "topic")
 
 #: Exponents of the default targets: token shares are raised to them, so that large
 #: sources and languages give way to small ones; topics weigh alike.
@@ -86,19 +90,13 @@ def probabilities(tokens: np.ndarray, share: np.ndarray, budget: float) -> np.nd
     return np.minimum(1, high * rate)
 
 
-def _named(cells: DataFrame, column: str, total: int) -> DataFrame:
-    """The values of ``column`` with at least a ``NAMED``-th of all tokens."""
-    return cells.groupBy(column).agg(F.sum("tokens").alias("t")).where(F.col("t") * NAMED >= total).select(column)
-
-
 def calibrated(
     docs: DataFrame, budget: float = 0.5, targets: Mapping[str, Mapping[str, float]] | None = None, seed: str = "mix"
 ) -> DataFrame:
     """``docs`` with ``topic, tokens, weight, probability, kept`` (or names like these, if taken).
 
     ``budget`` is the part of all tokens to keep, ``targets`` a weight by value for
-    any of source, lang and topic; the others are tempered, see ``TEMPER``. A value that has a
-    target is a cell value of its own. ``weight`` is the raked share over the share there is;
+    any of source, lang and topic; the others are tempered, see ``TEMPER``. ``weight`` is the raked share over the share there is;
     ``kept`` compares the probability with a hash of ``seed`` and the id, so
     copies of a row share their fate. A null source, language or id is a value like any other.
     Texts without words have no tokens and are kept with their cell's probability. An
@@ -112,21 +110,13 @@ def calibrated(
     keys = [F.coalesce(F.col(c).cast("string"), F.lit(NONE)).alias(c) for c in ("source", "lang", "topic")]
     cells = written(plain.select(*keys, "tokens").groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")), "cells")
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    known = {}
-    for c in ("source", "lang"):
-        known[c] = sorted({r[0] for r in _named(cells, c, max(1, total)).collect()} | set(targets.get(c, {})))
-    folded = {
-        c: F.when(F.col(c).isin(known[c]), F.col(c)).otherwise(REST) if known[c] else F.lit(REST) for c in ("source", "lang")
-    }
-    small = cells.groupBy(folded["source"].alias("source"), folded["lang"].alias("lang"), "topic").agg(
-        F.sum("tokens").alias("tokens")
-    )
-    found = sorted(tuple(r) for r in small.collect())  # at most (NAMED + 1) ** 2 * TOPICS, and the targets' values
-    table = _table(found, targets, budget * total)
     schema = "c_source string, c_lang string, c_topic string, c_weight double, c_probability double"
-    rates = F.broadcast(spark.createDataFrame(table, schema))
+    if cells.count() <= LOCAL:
+        found = sorted(tuple(r) for r in cells.collect())
+        rates = F.broadcast(spark.createDataFrame(_table(found, targets, budget * total), schema))
+    else:
+        rates = _rated(cells, targets, budget, total)
     where = [F.coalesce(F.col(c).cast("string"), F.lit(NONE)) for c in ("source", "lang")]
-    where = [F.when(w.isin(known[c]), w).otherwise(REST) if known[c] else F.lit(REST) for c, w in zip(("source", "lang"), where)]
     joined = rows.join(
         rates,
         (where[0] == F.col("c_source")) & (where[1] == F.col("c_lang")) & (F.col(names["topic"]).cast("string") == F.col("c_topic")),
@@ -149,9 +139,10 @@ def _table(cells: list[tuple], targets: Mapping, budget: float) -> list[tuple]:
     if not full.any():
         return [(*c[:3], 1.0, 1.0) for c in cells]
     codes, wanted = [], []
-    for j, name in enumerate(("source", "lang", "topic")):
+    for j, name in enumerate(MARGINALS):
         values = sorted({c[j] for c in cells})
-        code = np.array([values.index(c[j]) for c in cells])
+        place = {v: i for i, v in enumerate(values)}
+        code = np.array([place[c[j]] for c in cells])
         have = np.bincount(code, tokens, len(values)) / tokens.sum()
         tempered = np.where(have > 0, np.maximum(have, 1e-300) ** TEMPER[name], 0)
         given = targets.get(name)
@@ -166,6 +157,50 @@ def _table(cells: list[tuple], targets: Mapping, budget: float) -> list[tuple]:
     return [(*c[:3], float(w), float(p)) for c, w, p in zip(cells, weight, rate, strict=True)]
 
 
+def _rated(cells: DataFrame, targets: Mapping, budget: float, total: int) -> DataFrame:
+    """What ``_table`` gives, of any number of cells, as a table."""
+    spark = cells.sparkSession
+    if not total:
+        return cells.select(*[F.col(c).alias(f"c_{c}") for c in MARGINALS], F.lit(1.0).alias("c_weight"), F.lit(1.0).alias("c_probability"))
+    share = cells.where("tokens > 0").withColumn("share", F.col("tokens") / F.lit(float(total)))
+    wanted = {}
+    for name in MARGINALS:
+        want = share.groupBy(name).agg(F.pow(F.sum("share"), F.lit(TEMPER[name])).alias("target"))
+        if targets.get(name):
+            given = spark.createDataFrame([(v, float(t)) for v, t in targets[name].items()], f"{name} string, given double")
+            want = want.join(given, name, "left").select(name, F.coalesce("given", F.lit(0.0)).alias("target"))
+        whole = want.agg(F.sum("target")).first()[0]
+        wanted[name] = written(want.withColumn("target", F.col("target") / F.lit(whole)), "targets")
+    folders = [work_dir(spark, "llm-raked") for _ in range(2)]  # in turn, so that only two rounds are on disk
+    for i in range(ROUNDS):
+        off = 0.0
+        for name in MARGINALS:
+            now = share.groupBy(name).agg(F.sum("share").alias("now")).join(wanted[name], name)
+            by = F.when(F.col("now") > 0, F.col("target") / F.col("now")).otherwise(0.0)
+            factors = written(now.select(name, by.alias("by"), F.abs(F.col("now") - F.col("target")).alias("off")), "factors")
+            off = max(off, factors.agg(F.max("off")).first()[0])
+            share = share.join(factors.drop("off"), name).withColumn("share", F.col("share") * F.col("by")).drop("by")
+        share.write.mode("overwrite").parquet(folders[i % 2])
+        share = spark.read.schema(share.schema).parquet(folders[i % 2])
+        if off < CLOSE:
+            break
+    whole = share.agg(F.sum("share")).first()[0]
+    share = share.withColumn("share", F.col("share") / F.lit(whole)).withColumn("rate", F.col("share") / F.col("tokens"))
+    low, high = 0.0, 1 / share.where("rate > 0").agg(F.min("rate")).first()[0]
+    for _ in range(40):
+        points = [low + (high - low) * k / 33 for k in range(1, 33)]
+        spends = [F.sum(F.col("tokens") * F.least(F.lit(1.0), F.lit(m) * F.col("rate"))) for m in points]
+        under = [m for m, spent in zip(points, share.agg(*spends).first(), strict=True) if spent < budget * total]
+        low, high = (under[-1] if under else low), (points[len(under)] if len(under) < len(points) else high)
+        if high - low <= 1e-15 * high:
+            break
+    weight = F.col("share") * F.lit(float(total)) / F.col("tokens")
+    keys = [F.col(c).alias(f"c_{c}") for c in MARGINALS]
+    rated = share.select(*keys, weight.alias("c_weight"), F.least(F.lit(1.0), F.lit(high) * F.col("rate")).alias("c_probability"))
+    empty = cells.where("tokens <= 0").select(*keys, F.lit(1.0).alias("c_weight"), F.lit(1.0).alias("c_probability"))
+    return written(rated.unionByName(empty), "rates")
+
+
 def mixed(docs: DataFrame, budget: float = 0.5, targets: Mapping[str, Mapping[str, float]] | None = None) -> DataFrame:
     """The sampled rows of ``docs``."""
     out = calibrated(docs, budget, targets)

@@ -229,6 +229,25 @@ def test_raking_meets_its_targets(odd, docs):
     assert rows.count() == len(TEXTS) and rows.columns[-1] == "kept_"
 
 
+def test_small_sources_meet_targets_of_their_own(spark, monkeypatch):
+    rows = [(i, "en" if i < 1800 else "fr", f"host{i % 700}", "wording " * (1 + i % 700 % 5)) for i in range(2800)]
+    rows.append((None, None, None, ""))
+    df = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")
+    out = raking.calibrated(df).collect()
+    have, raked = {}, {}
+    for r in out:
+        have[r.source] = have.get(r.source, 0) + r.tokens
+        raked[r.source] = raked.get(r.source, 0) + r.tokens * r.weight
+    total = sum(have.values())
+    want = {s: (n / total) ** raking.TEMPER["source"] for s, n in have.items()}
+    assert len({round(x, 3) for x in raked.values()}) > 2
+    for s, n in raked.items():
+        assert abs(n / total - want[s] / sum(want.values())) < 1e-6
+    monkeypatch.setattr(raking, "LOCAL", 0)
+    both = lambda rows: sorted((r.doc_id or -1, r.weight, r.probability) for r in rows)
+    assert np.allclose(both(out), both(raking.calibrated(df).collect()), rtol=1e-7)
+
+
 def test_topics_and_words(odd, spark):
     """The words of every text and the class most long words fall into, counted one by one."""
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
