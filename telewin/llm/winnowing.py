@@ -5,6 +5,10 @@ halves, so neighbouring runs share work. Of every 8 successive runs the one with
 the least hash is chosen, the rightmost if several are least. Chosen runs are
 kept with their places: whenever two texts share 11 successive words, both
 keep a common run from there.
+
+Words that do not stand between spaces, those of scripts without spaces and those of
+more than 32 code points, count as one word for each code point. A text of fewer than 24 words
+keeps all its runs, and besides them those of 4 successive code points.
 """
 
 from __future__ import annotations
@@ -17,11 +21,32 @@ from .shared import free_name
 RUN, WINDOW = 4, 8
 _SPACE = " \t\n\x0b\f\r"
 _LOW = 2**31 - 1
+#: Code points from which a word is taken apart, and words from which a text is winnowed.
+LONG_WORD, SHORT = 33, 24
+_WORD = r"[^\x20\x09-\x0D]"
+#: Letters of scripts that put no spaces between words.
+_UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]"
+#: Places of the code points of short texts count from here.
+POINTS = 2**30
+
+
+def _joined(name: str, step: int, expression: str) -> str:
+    return f"zip_with({name}, slice({name}, {step + 1}, size({name})), (a, b) -> {expression})"
 
 
 def _neighbours(df: DataFrame, name: str, step: int, expression: str) -> DataFrame:
     """``name`` with each element joined to the one ``step`` further on; at the end there is none."""
-    return df.withColumn(name, F.expr(f"zip_with({name}, slice({name}, {step + 1}, size({name})), (a, b) -> {expression})"))
+    return df.withColumn(name, F.expr(_joined(name, step, expression)))
+
+
+def _runs(df: DataFrame, name: str, first: int = 0) -> DataFrame:
+    """The hashes ``name`` of words made those of runs, each with its place, counted from ``first``."""
+    step = 1
+    while step < RUN:
+        df = _neighbours(df, name, step, "xxhash64(a, b)")
+        step *= 2
+    df = df.withColumn(name, F.expr(f"slice({name}, 1, greatest(size({name}) - {RUN - 1}, 1))"))
+    return df.withColumn(name, F.expr(f"transform({name}, (x, i) -> shiftleft(x & {_LOW}L, 31) | ({_LOW - first}L - i))"))
 
 
 def winnowed(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -29,23 +54,30 @@ def winnowed(df: DataFrame, text: str, out: str) -> DataFrame:
 
     Each is one long: 31 bits of hash, then the place counted down from
     2**31 - 1; ``places`` and ``hashes`` take them apart. A text of fewer words
-    than a run is one run; fewer runs than a window are one window. Null and
-    texts without words have no runs. Words are what white space separates.
+    than a run is one run. Texts of fewer than ``SHORT`` words have all their runs, and after
+    them those of code points, with white space as one space, at places from ``POINTS``. Null and
+    texts without words have no runs. Words are what white space separates; long
+    words and those of scripts without spaces are taken apart into code points.
     """
-    trimmed = F.btrim(F.col(text), F.lit(_SPACE))
-    words = F.when(F.length(trimmed) > 0, F.split(trimmed, r"[\x20\x09-\x0D]+")).otherwise(F.array().cast("array<string>"))
+    trimmed, points, short = (free_name(df, f"{out}_{c}") for c in ("trimmed", "points", "short"))
+    df = df.withColumn(trimmed, F.btrim(F.col(text), F.lit(_SPACE)))
+    split = F.split(trimmed, r"[\x20\x09-\x0D]+")
+    apart = lambda w: F.when((F.char_length(w) >= LONG_WORD) | w.rlike(_UNSPACED), F.split(w, "")).otherwise(F.array(w))
+    unspaced = F.col(trimmed).rlike(f"{_UNSPACED}|{_WORD}{{{LONG_WORD}}}")
+    words = F.when(unspaced, F.flatten(F.transform(split, apart))).otherwise(split)
+    words = F.when(F.length(trimmed) > 0, words).otherwise(F.array().cast("array<string>"))
     df = df.withColumn(out, F.transform(words, lambda w: F.xxhash64(w)))
-    step = 1
-    while step < RUN:
-        df = _neighbours(df, out, step, "xxhash64(a, b)")
-        step *= 2
-    df = df.withColumn(out, F.expr(f"slice({out}, 1, greatest(size({out}) - {RUN - 1}, 1))"))
-    df = df.withColumn(out, F.expr(f"transform({out}, (x, i) -> shiftleft(x & {_LOW}L, 31) | ({_LOW}L - i))"))
+    df = df.withColumn(short, F.size(out) < SHORT)
+    letters = F.split(F.regexp_replace(trimmed, r"[\x20\x09-\x0D]+", " "), "")
+    letters = F.when(F.col(short) & (F.length(trimmed) > 0), letters).otherwise(F.array().cast("array<string>"))
+    df = df.withColumn(points, F.transform(letters, lambda w: F.xxhash64(w))).drop(trimmed)
+    df = _runs(_runs(df, out), points, POINTS)
     step = 1
     while step < WINDOW:
-        df = _neighbours(df, out, step, "least(a, b)")
+        df = df.withColumn(out, F.when(F.col(short), F.col(out)).otherwise(F.expr(_joined(out, step, "least(a, b)"))))
         step *= 2
-    return df.withColumn(out, F.expr(f"array_distinct(slice({out}, 1, greatest(size({out}) - {WINDOW - 1}, 1)))"))
+    chosen = F.expr(f"array_distinct(slice({out}, 1, greatest(size({out}) - {WINDOW - 1}, 1)))")
+    return df.withColumn(out, F.when(F.col(short), F.concat(out, points)).otherwise(chosen)).drop(points, short)
 
 
 def hashes(runs: str) -> Column:
@@ -125,7 +157,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     by the first as many, or all, of the next document. Null texts are empty.
     Columns: ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next, places``. A fingerprint is the hex hashes of the
-    chosen runs in order. Only ``doc_id`` and ``text`` are read; an empty table gives no rows.
+    chosen runs in order, ``places`` are those of the fingerprint's runs. Only ``doc_id`` and ``text`` are read; an empty table gives no rows.
     """
     df = with_next(docs).withColumn("n_chars", F.char_length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 4).cast("int")
@@ -144,6 +176,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         text("own_edited").alias("edited_fingerprint"),
         likeness("own", "own_edited").alias("near_edited"),
         likeness("own", "own_next").alias("near_next"),
+        F.array_join(places("runs").cast("array<string>"), ",").alias("places"),
     )
 
 

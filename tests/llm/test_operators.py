@@ -135,6 +135,23 @@ def test_winnowing_takes_the_rightmost_least_of_every_window(spark):
     assert [(r.place, r.hash) for r in got] == want
 
 
+def test_short_and_unspaced_texts_share_what_is_unchanged(spark):
+    code = "".join(chr(33 + i * i * 7 % 90) for i in range(400))
+    chinese = "".join(chr(0x4E00 + i * i * 31 % 5000) for i in range(300))
+    short = [" ".join(f"word{i}x{j}" for j in range(i)) for i in (1, 2, 3, 5, 8, 11, 12, 23, 24)]
+    texts = [*short, "x" + code, chinese, "\U00020000" * 3 + "abc d"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sorted(winnowing.edited_fingerprints(df).collect())
+    assert all(0 < r.near_edited < 1 for r in rows)
+    for r in rows:
+        assert len(r.places.split(",")) == len(r.fingerprint.split(","))
+        assert all(0 <= int(p) < 2**31 for p in r.places.split(","))
+    inside = [(0, " ".join(f"a{i}" for i in range(30)) + " " + short[5] + " end", short[5]), (1, "pre" + chinese, chinese[100:140]), (2, code + "tail", code[50:120])]
+    both = spark.createDataFrame(inside, "id long, text string, part string")
+    runs = winnowing.winnowed(winnowing.winnowed(both, "text", "t"), "part", "p")
+    assert all(r.n > 0 for r in runs.select(F.size(F.array_intersect(winnowing.hashes("t"), winnowing.hashes("p"))).alias("n")).collect())
+
+
 def test_shards_are_even_and_gapless(odd, docs):
     for table in (docs, odd):
         rows = lpt_shards.sharded(table, 5).collect()
