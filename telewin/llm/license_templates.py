@@ -33,13 +33,14 @@ TEMPLATES = (
     ),
     (
         "gpl-3.0-notice",
-        "<<optional>>this <<any:4>> is<</optional>> licensed under the<<optional>> terms of the<</optional>><<optional>> gnu"
-        "<</optional>> general public license<<optional>> as published by the free software foundation either<</optional>> version 3",
+        "<<optional>>this <<any:4>> is<</optional>><<optional>> licensed<</optional>> under the<<optional>> terms of the<</optional>>"
+        "<<optional>> gnu<</optional>> general public license<<optional>> as published by the free software foundation<</optional>>"
+        "<<optional>> either<</optional>> version 3",
     ),
     ("cc-by-nc-4.0-notice", "licensed under<<optional>> the<</optional>> cc by nc 4 0"),
     (
         "mit-text",
-        "permission is hereby granted free of charge to any person obtaining a copy of <<any:6>> to deal in <<any:3>> without "
+        "permission is hereby granted free of charge to any person obtaining a copy of <<any:10>> to deal in <<any:3>> without "
         "restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell "
         "copies of the software",
     ),

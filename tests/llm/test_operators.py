@@ -358,6 +358,33 @@ def test_license_places_and_templates(odd):
     assert [a.reach(w.split(), 0) for w in ("a d", "a b c d", "a b x y c d", "a b x y z c d", "a x d")] == [2, 4, 6, None, None]
 
 
+VERBATIM = {
+    "mit-notice": "This project is released under the terms of the MIT License.",
+    "apache-2.0-notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+        compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0""",
+    "gpl-3.0-notice": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General
+        Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
+        version.""",
+    "cc-by-nc-4.0-notice": "This work is licensed under CC BY-NC 4.0.",
+    "mit-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+        documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
+        to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to
+        whom the Software is furnished to do so, subject to the following conditions:""",
+    "bsd-text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+        following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+        conditions and the following disclaimer.""",
+}
+
+
+def test_templates_match_the_verbatim_texts(spark):
+    assert {label for label, _ in license_templates.TEMPLATES} == set(VERBATIM)
+    rows = list(enumerate(VERBATIM.items()))
+    df = spark.createDataFrame([(i, "Before. " + text + " After.") for i, (_, text) in rows], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_templates.scan(df).collect()}
+    for i, (label, _) in rows:
+        assert label in got[i].labels.split(",") and got[i].score == 1, label
+
+
 @pytest.mark.parametrize("run", [lambda d, x: odd_sketch.near_duplicates(d), lambda d, x: winnowing.edited_fingerprints(d),
     lambda d, x: lpt_shards.sharded(d), lambda d, x: pattern_packing.packed(d), rule_ensemble.quality,
     classifier_chain.toxicity, lambda d, x: raking.calibrated(d), lambda d, x: license_templates.scan(d)])
