@@ -38,7 +38,7 @@ def statistics(df: DataFrame, text: str, prefix: str) -> DataFrame:
     """``df`` with one double column for each of ``STATISTICS``; null and empty texts give zeros."""
     t, chars, words, lines = (free_name(df, f"{prefix}{x}_") for x in ("text", "n", "split", "rows"))
     df = df.withColumn(t, F.coalesce(F.col(text), F.lit("")))
-    df = df.withColumn(chars, F.char_length(t)).withColumn(words, F.split(F.btrim(F.lower(t), F.lit(" \\t\\n\\x0b\\f\\r")), r"\s+"))
+    df = df.withColumn(chars, F.char_length(t)).withColumn(words, F.split(F.btrim(F.lower(t), F.lit(" \t\n\x0b\f\r")), r"\s+"))
     df = df.withColumn(lines, F.split(F.col(t), "\n"))
     n, count = F.greatest(F.col(chars), F.lit(1)), F.size(words)
     per_char = lambda pattern: F.regexp_count(F.col(t), F.lit(pattern)) / n

@@ -222,6 +222,15 @@ def test_rules_learn_quality_on_held_out_rows(spark, labels, odd):
     assert rule_ensemble.good_only(odd, labels.limit(0)).columns == odd.columns
 
 
+def test_statistics_trim_white_space_only(spark):
+    texts = ["tnt", "the cat and", "\t\n the cat and \x0b\f\r\n", "bar 0 bar"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sorted(rule_ensemble.statistics(df, "text", "s_").collect())
+    assert [round(np.expm1(r.s_words)) for r in rows] == [len(t.split()) for t in texts]
+    assert [r.s_word_length for r in rows] == [len(t) / len(t.split()) for t in texts]
+    assert rows[3].s_distinct == 2 / 3
+
+
 def test_chain_finds_toxic_documents(spark, odd):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     chain = classifier_chain.fit(docs, labels.where("doc_id % 2 = 0"))
