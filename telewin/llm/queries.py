@@ -11,6 +11,7 @@ from . import (
     host_suffixes,
     license_templates,
     lpt_shards,
+    member_lloyd,
     odd_sketch,
     pattern_packing,
     pivot_index,
@@ -75,6 +76,11 @@ def op10_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_templates.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op11_member_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of four parts of all vectors, and their errors."""
+    return member_lloyd.compressed(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     import corpus_pipeline
@@ -93,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_classifier_chain": op8_classifier_chain,
     "op9_host_suffixes": op9_host_suffixes,
     "op10_license_templates": op10_license_templates,
+    "op11_member_lloyd": op11_member_lloyd,
     "pipeline": pipeline,
 }
 

@@ -14,6 +14,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discarded(table: DataFrame) -> None:
+    """Remove the files of a table that ``written`` gave, once nothing reads them any more."""
+    spark = table.sparkSession
+    folders = {f.rpartition("/")[0] for f in table.inputFiles()}
+    for name in folders:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(name)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or with underscores appended until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}
