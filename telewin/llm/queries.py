@@ -12,6 +12,7 @@ from . import (
     license_templates,
     lpt_shards,
     member_lloyd,
+    merkle_manifest,
     odd_sketch,
     pattern_packing,
     pivot_index,
@@ -81,6 +82,11 @@ def op11_member_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return member_lloyd.compressed(table(spark, sf_dir, "embeddings"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, proofs and checks of all documents in one Merkle tree."""
+    return merkle_manifest.manifest(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     import corpus_pipeline
@@ -100,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_host_suffixes": op9_host_suffixes,
     "op10_license_templates": op10_license_templates,
     "op11_member_lloyd": op11_member_lloyd,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "pipeline": pipeline,
 }
 
