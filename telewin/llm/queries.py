@@ -14,6 +14,7 @@ from . import (
     member_lloyd,
     merkle_manifest,
     odd_sketch,
+    parity_join,
     pattern_packing,
     pivot_index,
     raking,
@@ -87,6 +88,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents that share nine tenths of their 3-word shingles."""
+    return parity_join.ngram_components(table(spark, sf_dir, "documents"), percent=90)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     import corpus_pipeline
@@ -107,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_templates": op10_license_templates,
     "op11_member_lloyd": op11_member_lloyd,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_parity_join": op13_parity_join,
     "pipeline": pipeline,
 }
 
