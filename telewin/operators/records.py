@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from telewin.functions import record
+from telewin.functions.partitioning import key_partition
+
 
 def valid_records(obs: DataFrame, on_bad: str = "drop") -> DataFrame:
     """Observations with a key and a non-negative event time, plus ``ts_ms`` and ``event_time``.
@@ -33,6 +35,11 @@ def rekey_by_resource(obs: DataFrame, on_bad: str = "null") -> DataFrame:
     return rekey(obs, record.ep_path(F.col("key"), F.col("value"), on_bad))
 
 
+def with_rekeyed_partition(obs: DataFrame, partitions: int, key_bytes: Column, name: str = "rpart") -> DataFrame:
+    """Attach the partition that re-keyed records land in, given their serialized keys."""
+    return obs.withColumn(name, key_partition(key_bytes, partitions))
+
+
 def mark_max(obs: DataFrame, on_bad: str = "null") -> DataFrame:
     """Rewrite both paths of the value to ``<resource path>-max``."""
     value = F.col("value")

@@ -23,10 +23,11 @@ from telewin.operators.windows import (
     assign_window,
 )
 from telewin.plans import device_counts, window_max
+from telewin.settings import CountSettings, MaxSettings
 from telewin.sources import tables
 from telewin.streaming import ledger, stores
 from telewin.streaming.run import finish, use_stream_settings
-from telewin.streaming.tables import read_latest, read_updates, to_table
+from telewin.streaming.tables import read_latest, read_updates, to_table, write_batch
 from telewin.streaming.topics import read_topic_rows, topic_rows
 from telewin.workspace import work_dir
 
@@ -312,9 +313,12 @@ def run_to_table(spark: SparkSession, rows: DataFrame, name: str, mode: str = "u
 
 
 def run_in_slices(
-    spark: SparkSession, sf_dir: str, base: str, start: Callable[[DataFrame], StreamingQuery]
+    spark: SparkSession,
+    sf_dir: str,
+    base: str,
+    start: Callable[[DataFrame], StreamingQuery | list[StreamingQuery]],
 ) -> None:
-    """Let the log grow by offset ranges and resume the same query after each step.
+    """Let the log grow by offset ranges and resume the same queries after each step.
 
     Every step is one trigger, so a slice is in order however many files it has.
     """
@@ -325,7 +329,9 @@ def run_in_slices(
         low, high = end * step // SLICES, end * (step + 1) // SLICES
         of_step = (F.col("event_id") >= low) & (F.col("event_id") < high)
         events.where(of_step).write.mode("append").parquet(log)
-        finish(start(spark.readStream.schema(tables.EVENTS).parquet(log)))
+        started = start(spark.readStream.schema(tables.EVENTS).parquet(log))
+        for query in started if isinstance(started, list) else [started]:
+            finish(query)
 
 
 def stream_count_by_ep_1m(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -435,12 +441,12 @@ def late_by_resource(events: DataFrame) -> DataFrame:
 
 def stream_late_count_by_ep_1m(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = exact(spark, sf_dir, ledger.count_exactly, late, MINUTE_MS)
-    return flat_counts(ledger.read_counts(spark, table))
+    return flat_counts(ledger.read_counts(spark, table, MINUTE_MS))
 
 
 def stream_late_count_by_ep_path_1m(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = exact(spark, sf_dir, ledger.count_exactly, late_by_resource, MINUTE_MS, "rpart")
-    return flat_counts(ledger.read_counts(spark, table), "ep_path")
+    return flat_counts(ledger.read_counts(spark, table, MINUTE_MS), "ep_path")
 
 
 def stream_late_max_by_ep_path_30s(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -456,6 +462,55 @@ def stream_max_by_ep_path_30s_nan_replay(spark: SparkSession, sf_dir: str) -> Da
     return nan_winners(ledger.read_maxima(spark, table, HALF_MINUTE_MS))
 
 
+def late_records(events: DataFrame) -> DataFrame:
+    return valid_records(tables.observations(events, tables.late_ms()))
+
+
+def exact_job_counts_1m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the exact count job has given out, by its last word on each window, over restarts and a merge."""
+    base = work_dir(spark, "exact-counts")
+    settings = CountSettings(checkpoint=base, exact=True, partitions=tables.PARTITIONS, merge_every=2)
+
+    def to_updates(level: str) -> ledger.Emit:
+        return lambda rows, batch_id: write_batch(rows, f"{base}/{level}", batch_id)
+
+    def start(events: DataFrame) -> list[StreamingQuery]:
+        return device_counts.start_exact(
+            spark, late_records(events), settings, to_updates, available_now=True
+        )
+
+    run_in_slices(spark, sf_dir, base, start)
+    shown = [
+        read_latest(spark, f"{base}/{level}").select(F.lit(name).alias("level"), ep().alias("name"), START, END, "n")
+        for level, name in (("ep", "ep"), ("ep-path", "ep_path"))
+    ]
+    return shown[0].unionByName(shown[1])
+
+
+def exact_job_publish_max_30s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the exact max job has published, by the last record of each windowed key, and the partition of it."""
+    base = work_dir(spark, "exact-max")
+    settings = MaxSettings(
+        checkpoint=base,
+        exact=True,
+        partitions=tables.PARTITIONS,
+        output_partitions=OUTPUT_PARTITIONS,
+        merge_every=2,
+    )
+
+    def emit(rows: DataFrame, batch_id: int) -> None:
+        write_batch(rows, f"{base}/published", batch_id)
+
+    def start(events: DataFrame) -> StreamingQuery:
+        return window_max.start_exact(
+            spark, late_records(events), settings, emit, available_now=True
+        )
+
+    run_in_slices(spark, sf_dir, base, start)
+    published = latest(read_updates(spark, f"{base}/published"), ("key",))
+    return flat_winners(read_topic_rows(published, HALF_MINUTE_MS), "topic", "partition")
+
+
 # --- sinks ---------------------------------------------------------------
 
 
@@ -482,6 +537,17 @@ def publish_partition_colocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def publish_partition_by_key_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The output partition of every key: the one a producer gives it."""
+    rows = topic_rows(
+        window_max.window_max(valid(spark, sf_dir)), OUTPUT_TOPIC, OUTPUT_PARTITIONS
+    )
+    decoded = read_topic_rows(rows, HALF_MINUTE_MS)
+    return decoded.groupBy(ep().alias("ep_path"), "partition").agg(
+        F.count(F.lit(1)).alias("n_windows")
+    )
+
+
 def encoded_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = count_by_window(rekey_by_resource(valid(spark, sf_dir)), HALF_MINUTE_MS)
     data = windowed_key.encode(F.encode(ep(), "UTF-8"), F.col(START))
@@ -529,6 +595,7 @@ QUERIES: dict[str, Query] = {
     "windowed_key_encode": windowed_key_encode,
     "windowed_key_decode": windowed_key_decode,
     "publish_partition_colocation": publish_partition_colocation,
+    "publish_partition_by_key_hash": publish_partition_by_key_hash,
     "publish_max_30s": publish_max_30s,
     "stream_observations_scan": stream_observations_scan,
     "stream_count_by_ep_1m": stream_count_by_ep_1m,
@@ -545,4 +612,6 @@ QUERIES: dict[str, Query] = {
     "stream_late_count_by_ep_path_1m": stream_late_count_by_ep_path_1m,
     "stream_late_max_by_ep_path_30s": stream_late_max_by_ep_path_30s,
     "stream_max_by_ep_path_30s_nan_replay": stream_max_by_ep_path_30s_nan_replay,
+    "exact_job_counts_1m": exact_job_counts_1m,
+    "exact_job_publish_max_30s": exact_job_publish_max_30s,
 }

@@ -1,14 +1,17 @@
 """Job 1: observations per device, and per device and resource, each minute."""
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from telewin.operators.counts import count_both_levels, count_by_window
 from telewin.operators.records import rekey_by_resource
 from telewin.operators.windows import MINUTE_MS
-from telewin.plans.source import observations
+from telewin.plans.source import arrival_of, observations, rekeyed
 from telewin.settings import CountSettings
-from telewin.streaming.run import to_console, use_stream_settings
+from telewin.streaming import ledger
+from telewin.streaming.run import show, to_console, use_stream_settings
 from telewin.workspace import job_checkpoint
 
 
@@ -36,8 +39,36 @@ def results(obs: DataFrame, settings: CountSettings) -> dict[str, DataFrame]:
     return {"ep": per_device(obs, size_ms), "ep-path": per_resource(obs, size_ms, on_bad)}
 
 
+def start_exact(
+    spark: SparkSession,
+    obs: DataFrame,
+    settings: CountSettings,
+    emit: Callable[[str], ledger.Emit] = lambda name: lambda rows, batch_id: show(rows),
+    **run,
+) -> list[StreamingQuery]:
+    """Keep both counts of the stream ``obs`` exactly, and give each trigger's changed rows to ``emit`` of the result.
+
+    The tables lie in ``table`` under the checkpoint of each result; see ``ledger.read_counts``.
+    """
+    use_stream_settings(spark)
+    keyed = rekeyed(obs, settings)
+    # Devices count in the order of their own partition, re-keyed records in that of arrival.
+    levels = (("ep", obs, "part", None), ("ep-path", keyed, "rpart", arrival_of(obs)))
+    queries = []
+    for level, rows, part, arrived in levels:
+        name = f"{settings.name}-{level}"
+        base = job_checkpoint(spark, settings.checkpoint, name)
+        how = {"arrived": arrived, "emit": emit(level), "merge_every": settings.merge_every, **run}
+        queries.append(
+            ledger.count_exactly(rows, settings.window_ms, f"{base}/table", name, f"{base}/progress", part, **how)
+        )
+    return queries
+
+
 def start(spark: SparkSession, settings: CountSettings) -> list[StreamingQuery]:
     """Print the counts as they change, each result by a query with its own checkpoint."""
+    if settings.exact:
+        return start_exact(spark, observations(spark, settings), settings, cadence=settings.cadence)
     use_stream_settings(spark)
     return [
         to_console(

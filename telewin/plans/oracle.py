@@ -1,8 +1,9 @@
 """The same results in SQL over the same parquet tables."""
 
 from telewin.operators.windows import HALF_MINUTE_MS, MINUTE_MS, grace_ms
-from telewin.plans.catalog import OUTPUT_TOPIC
-from telewin.sources.tables import LATE_SHIFT_MS, VIEW_SPEEDUP, VIEW_START_MS
+from telewin.functions.partitioning import MULTIPLIER, SEED
+from telewin.plans.catalog import OUTPUT_PARTITIONS, OUTPUT_TOPIC
+from telewin.sources.tables import LATE_SHIFT_MS, PARTITIONS, VIEW_SPEEDUP, VIEW_START_MS
 
 _RAW = f"""
 raw as (
@@ -43,6 +44,52 @@ readings as (
 )"""
 
 
+# The producer's hash of the JSON key, step by step; unsigned numbers below 2**32.
+_HASHED = f"""{_RAW},
+names as (
+  select ep_path, list_transform(string_split('{{"ep":"' || ep_path || '"}}', ''), lambda c: cast(ascii(c) as bigint)) as b
+  from (select distinct ep || '.' || path as ep_path from raw)
+),
+words as (
+  select ep_path, b, len(b) // 4 * 4 as whole,
+         list_transform(range(len(b) // 4), lambda i: b[4 * i + 1] + 256 * b[4 * i + 2] + 65536 * b[4 * i + 3] + 16777216 * b[4 * i + 4]) as w
+  from names
+),
+mixed as (
+  select *, list_transform(list_transform(w, lambda k: k * {MULTIPLIER} % 4294967296),
+                           lambda k: xor(k, k // 16777216) * {MULTIPLIER} % 4294967296) as m
+  from words
+),
+reduced as (
+  select ep_path, list_reduce(m, lambda h, k: xor(h * {MULTIPLIER} % 4294967296, k), xor(cast({SEED} as bigint), len(b))) as h,
+         case when len(b) > whole
+              then b[whole + 1] + 256 * coalesce(b[whole + 2], 0) + 65536 * coalesce(b[whole + 3], 0) end as tail
+  from mixed
+),
+tailed as (
+  select ep_path, case when tail is null then h else xor(h, tail) * {MULTIPLIER} % 4294967296 end as h from reduced
+),
+stirred as (select ep_path, xor(h, h // 8192) * {MULTIPLIER} % 4294967296 as h from tailed),
+hashes as (select ep_path, xor(h, h // 32768) % 2147483648 as h from stirred)"""
+
+
+def _late_hashed(size_ms: int) -> str:
+    return f"""{_HASHED},
+shifted as (
+  select off, raw.ep, raw.path, hashes.ep_path, h, h % {PARTITIONS} as hpart,
+         coalesce(cast(lng as double), dbl) as v,
+         raw_ms - case when off % 97 = 0 then {LATE_SHIFT_MS} else 0 end as ts_ms
+  from raw join hashes on hashes.ep_path = raw.ep || '.' || raw.path
+),
+flagged as (
+  select *, ts_ms // {size_ms} * {size_ms} + {size_ms}
+            <= max(ts_ms) over (partition by hpart order by off
+                                rows between unbounded preceding and current row)
+               - {grace_ms(size_ms)} as late
+  from shifted
+)"""
+
+
 def _late(size_ms: int, part: str) -> str:
     return f"""{_RAW},
 shifted as (
@@ -202,6 +249,10 @@ from keys""",
     "publish_partition_colocation": f"""{_KEYS}
 select ep_path, count(*) as n_windows, cast(1 as bigint) as n_partitions
 from keys group by ep_path""",
+    "publish_partition_by_key_hash": f"""with {_HASHED},
+keys as (select distinct ep || '.' || path as name, ts_ms // {HALF_MINUTE_MS} as w from raw)
+select ep_path, cast(any_value(h) % {OUTPUT_PARTITIONS} as integer) as "partition", count(*) as n_windows
+from keys join hashes on name = ep_path group by ep_path""",
     "publish_max_30s": _best("obs", _OBS, f"'{OUTPUT_TOPIC}' as topic, {_WINNER}"),
     "stream_observations_scan": _SCAN,
     "stream_count_by_ep_1m": _COUNT_EP,
@@ -218,4 +269,15 @@ from keys group by ep_path""",
     "stream_late_count_by_ep_path_1m": _LATE_PATH,
     "stream_late_max_by_ep_path_30s": _LATE_MAX,
     "stream_max_by_ep_path_30s_nan_replay": _NAN_BEST,
+    "exact_job_counts_1m": f"""
+select 'ep' as level, * rename (ep as name) from ({_LATE_EP})
+union all
+select 'ep_path' as level, * rename (ep_path as name)
+from ({_count("ep_path", "flagged", _late_hashed(MINUTE_MS), "not late")})""",
+    "exact_job_publish_max_30s": _best(
+        "flagged",
+        _late_hashed(HALF_MINUTE_MS),
+        f"'{OUTPUT_TOPIC}' as topic, cast(h % {OUTPUT_PARTITIONS} as integer) as \"partition\", {_WINNER}",
+        "not late",
+    ),
 }

@@ -2,16 +2,18 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from telewin.operators.records import valid_records
+from telewin.operators.records import rekey_by_resource, valid_records, with_rekeyed_partition
 from telewin.settings import JobSettings
 from telewin.sources.payloads import (
     OPEN_RESPONSE,
     from_framed_avro,
     from_json_key,
     from_json_response,
+    to_framed_avro,
+    to_json_key,
     union_response,
 )
-from telewin.sources.topics import observations_from, read_topic
+from telewin.sources.topics import ARRIVED, observations_from, read_topic
 
 
 def decoded(records: DataFrame, settings: JobSettings) -> DataFrame:
@@ -36,6 +38,21 @@ def decoded(records: DataFrame, settings: JobSettings) -> DataFrame:
     return observations_from(records, key, value)
 
 
+def rekeyed(obs: DataFrame, settings: JobSettings) -> DataFrame:
+    """Records by device and resource, with the partition they are dealt to."""
+    if settings.partitions is None:
+        raise ValueError("an exact job needs the number of partitions of the input topic")
+    by_resource = rekey_by_resource(obs, "fail" if settings.on_bad == "fail" else "null")
+    key = F.col("key")
+    data = to_framed_avro(key, *settings.rekeyed_key_schema) if settings.rekeyed_key_schema else to_json_key(key)
+    return with_rekeyed_partition(by_resource, settings.partitions, data.cast("binary"))
+
+
+def arrival_of(obs: DataFrame) -> str | None:
+    """The column that orders records of several source partitions, if the source has it."""
+    return ARRIVED if ARRIVED in obs.columns else None
+
+
 def observations(
     spark: SparkSession, settings: JobSettings, streaming: bool = True
 ) -> DataFrame:

@@ -7,11 +7,12 @@ from telewin.operators.maxima import max_by_window
 from telewin.operators.records import mark_max, rekey_by_resource
 from telewin.operators.updates import max_updates
 from telewin.operators.windows import END, HALF_MINUTE_MS, START
-from telewin.plans.source import observations
+from telewin.plans.source import arrival_of, observations, rekeyed
 from telewin.settings import MaxSettings
 from telewin.sources.payloads import avro_response, to_framed_avro
+from telewin.streaming import ledger
 from telewin.streaming.run import use_stream_settings
-from telewin.streaming.topics import to_topic, topic_rows
+from telewin.streaming.topics import publish, to_topic, topic_rows
 from telewin.workspace import job_checkpoint
 
 
@@ -64,6 +65,33 @@ def output_rows(winners: DataFrame, settings: MaxSettings) -> DataFrame:
     )
 
 
+def start_exact(
+    spark: SparkSession, obs: DataFrame, settings: MaxSettings, emit: ledger.Emit, **run
+) -> StreamingQuery:
+    """Keep the winners of the stream ``obs`` exactly, and give each trigger's changed topic rows to ``emit``.
+
+    The table lies in ``table`` under the checkpoint; see ``ledger.read_maxima``. Its records are not marked.
+    """
+    use_stream_settings(spark)
+    base = job_checkpoint(spark, settings.checkpoint, settings.name)
+
+    def emit_rows(winners: DataFrame, batch_id: int) -> None:
+        emit(output_rows(mark_max(winners), settings), batch_id)
+
+    return ledger.max_exactly(
+        rekeyed(obs, settings),
+        settings.window_ms,
+        f"{base}/table",
+        settings.name,
+        f"{base}/progress",
+        "rpart",
+        arrived=arrival_of(obs),
+        emit=emit_rows,
+        merge_every=settings.merge_every,
+        **run,
+    )
+
+
 def start(spark: SparkSession, settings: MaxSettings) -> StreamingQuery:
     """Publish the winners of each window as they change.
 
@@ -72,6 +100,14 @@ def start(spark: SparkSession, settings: MaxSettings) -> StreamingQuery:
     """
     if settings.output_partitions is None:
         raise ValueError("set output_partitions to the number of partitions of the output topic")
+    if settings.exact:
+
+        def emit(rows: DataFrame, batch_id: int) -> None:
+            publish(rows, settings.brokers, settings.options)
+
+        return start_exact(
+            spark, observations(spark, settings), settings, emit, cadence=settings.cadence
+        )
     use_stream_settings(spark)
     winners = window_max(
         observations(spark, settings),

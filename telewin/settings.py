@@ -27,6 +27,14 @@ class JobSettings:
     options: Mapping[str, str] = field(default_factory=dict)
     cadence: str = CADENCE
     on_bad: str = "drop"
+    # Late records and NaN readings exactly as in a replay of the topic, in a table under the checkpoint.
+    exact: bool = False
+    # Partitions of the input topic, which re-keyed records are dealt to as well; ``exact`` needs it.
+    partitions: int | None = None
+    # Registry id and schema text of the re-keyed keys, which decide their partition; empty means JSON.
+    rekeyed_key_schema: tuple[int, str] | None = None
+    # Triggers between merges of an exact table.
+    merge_every: int = 360
 
 
 @dataclass(frozen=True)

@@ -7,6 +7,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from telewin.sources.options import overlay
 
 
+#: The column that orders records of several source partitions.
+ARRIVED = "arrived_ms"
+
+
 def topic_options(
     brokers: str, topic: str, user_options: Mapping[str, str] | None = None
 ) -> dict[str, str]:
@@ -37,10 +41,15 @@ def read_topic(
 
 
 def observations_from(records: DataFrame, key: Column, value: Column) -> DataFrame:
-    """Topic rows as observations, given the decoded ``key`` and ``value`` columns."""
+    """Topic rows as observations, given the decoded ``key`` and ``value`` columns.
+
+    ``arrived_ms`` is the time the topic gives a record, where it gives one.
+    """
+    arrived = [F.unix_millis("timestamp").alias(ARRIVED)] if "timestamp" in records.columns else []
     return records.select(
         key.alias("key"),
         value.alias("value"),
         F.col("partition").alias("part"),
         F.col("offset").alias("off"),
+        *arrived,
     )

@@ -7,37 +7,167 @@ with the replay rules, and the partial results are kept by trigger. Combining
 them in trigger order gives the table. The source must deliver each partition
 in offset order, as a topic does.
 
-Layout under ``path``: ``partials`` and ``reached``, one folder per trigger.
-Late flags of a trigger start from the stream times its predecessor wrote.
+Layout under ``path``, one folder per trigger: ``partials`` and ``reached``, the stream times
+after it, from which its successor's late flags start.
+
+Every so many triggers the partials are merged: windows that no partition seen so far can still
+reach go to ``closed``, the others to ``base``, and a mark in ``merged`` says that both are
+whole. What a merge replaced is kept until the next one, for those who are reading it, and
+then removed. So a trigger reads a day of windows and a bounded number of partials, however long the
+job has run. Closed windows are still found where a partition that starts late brings records for them.
 """
 
 from collections.abc import Callable, Sequence
 from functools import partial
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from telewin.operators.compaction import BATCH
 from telewin.operators.counts import count_by_window
-from telewin.operators.late import drop_late, stream_times
+from telewin.operators.late import closed, drop_late, stream_times
 from telewin.operators.maxima import fold_by_window
-from telewin.operators.windows import START, window_bounds
+from telewin.operators.windows import START, grace_ms, window_bounds
 from telewin.streaming.run import to_batches
-from telewin.streaming.tables import batch_path, read_updates, write_batch
+from telewin.streaming.tables import batch_path, batches_in, mark, read_batches, remove, write_batch
+from telewin.workspace import stage
 
-Reduce = Callable[[DataFrame, str], DataFrame]
+GROUP: Sequence[str] = ("key", START)
+#: Triggers between merges: an hour at the usual cadence.
+MERGE_EVERY = 360
 
+Emit = Callable[[DataFrame, int], None]
 
-def _counts(obs: DataFrame, work: str, size_ms: int) -> DataFrame:
-    return count_by_window(obs, size_ms)
 
+class Kind(NamedTuple):
+    """What is kept per key and window.
 
-def _folds(obs: DataFrame, work: str, size_ms: int) -> DataFrame:
+    ``reduce`` makes the rows of a trigger, ``combine`` brings rows of several triggers together (both
+    as ``key``, window start and more), and ``shown`` is what the table shows of them.
+    """
+
+    reduce: Callable[[DataFrame, str, int], DataFrame]
+    combine: Callable[[DataFrame], DataFrame]
+    shown: Callable[[DataFrame, int], DataFrame]
+
+
+def _count(obs: DataFrame, work: str, size_ms: int) -> DataFrame:
+    return count_by_window(obs, size_ms).select(*GROUP, "n")
+
+
+def _sum(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*GROUP).agg(F.sum("n").alias("n"))
+
+
+def _fold(obs: DataFrame, work: str, size_ms: int) -> DataFrame:
     return fold_by_window(obs, size_ms, work=f"{work}/resets")
 
 
+def _last_folds(rows: DataFrame) -> DataFrame:
+    """Only the triggers' winners from the last reset on compete."""
+    last = F.max(F.when(F.col("reset"), F.col(BATCH))).over(Window.partitionBy(*GROUP))
+    rows = rows.withColumn("last_reset", last)
+    return (
+        rows.where(F.col("last_reset").isNull() | (F.col(BATCH) >= F.col("last_reset")))
+        .groupBy(*GROUP)
+        .agg(
+            F.max_by("rec", "rank").alias("rec"),
+            F.max("rank").alias("rank"),
+            F.max("reset").alias("reset"),
+        )
+    )
+
+
+COUNTS = Kind(_count, _sum, lambda rows, size_ms: rows.select("key", *window_bounds(rows, size_ms), "n"))
+MAXIMA = Kind(
+    _fold, _last_folds, lambda rows, size_ms: rows.select("key", *window_bounds(rows, size_ms), "rec.*")
+)
+
+
+def last_merge(spark: SparkSession, path: str) -> int:
+    """The last trigger that the merged part of the table includes; -1 for none."""
+    return max(batches_in(spark, f"{path}/merged"), default=-1)
+
+
+def read_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The kept rows of all triggers, each with the trigger it counts from."""
+    merged = batches_in(spark, f"{path}/merged")
+    base = max(merged, default=-1)
+    later = [b for b in batches_in(spark, f"{path}/partials") if b > base]
+    parts = [("partials", later), ("base", [base] if merged else []), ("closed", merged)]
+    read = [read_batches(spark, f"{path}/{name}", ids) for name, ids in parts if ids]
+    if not read:
+        raise ValueError(f"no trigger has written to {path} yet")
+    whole = read[0]
+    for more in read[1:]:
+        whole = whole.unionByName(more)
+    return whole
+
+
+def read_table(spark: SparkSession, path: str, size_ms: int, kind: Kind) -> DataFrame:
+    return kind.shown(kind.combine(read_rows(spark, path)), size_ms)
+
+
+def changed(spark: SparkSession, path: str, batch_id: int, size_ms: int, kind: Kind) -> DataFrame:
+    """The table's rows for the windows that trigger ``batch_id`` touched: its update stream.
+
+    Rows of other times are not read: the bounds of the touched windows reach the files.
+    """
+    touched = stage(
+        read_batches(spark, f"{path}/partials", [batch_id]).select(*GROUP).distinct(),
+        batch_path(f"{path}/work", batch_id) + "/touched",
+    )
+    low, high = touched.rows.agg(F.min(START), F.max(START)).first()
+    rows = read_rows(spark, path).where(F.col(START).between(F.lit(low), F.lit(high)))
+    mine = rows.join(touched.sized(), [*GROUP], "left_semi")
+    return kind.shown(kind.combine(mine), size_ms)
+
+
+def merge(spark: SparkSession, path: str, batch_id: int, size_ms: int, kind: Kind) -> None:
+    """Bring everything up to trigger ``batch_id`` together.
+
+    Running it again, after a failure at any point or with the trigger, changes nothing: rows
+    count once their mark is there, and a mark is set once.
+    """
+    merged = batches_in(spark, f"{path}/merged")
+    if batch_id in merged:
+        return
+    base = max(merged, default=-1)
+    ids = [b for b in batches_in(spark, f"{path}/partials") if base < b <= batch_id]
+    rows = read_batches(spark, f"{path}/partials", ids)
+    if merged:
+        rows = rows.unionByName(read_batches(spark, f"{path}/base", [base]))
+    whole = kind.combine(rows)
+    reached = spark.read.parquet(batch_path(f"{path}/reached", batch_id))
+    least = reached.agg(F.min("reached")).first()[0]
+    over = F.lit(False) if least is None else closed(F.col(START) + size_ms, F.lit(least), grace_ms(size_ms))
+    # Worked out once for both writes.
+    held = whole.withColumn("over", over).persist()
+    try:
+        for name, which in (("closed", F.col("over")), ("base", ~F.col("over"))):
+            target = batch_path(f"{path}/{name}", batch_id)
+            held.where(which).drop("over").write.mode("overwrite").parquet(target)
+    finally:
+        held.unpersist()
+    mark(spark, batch_path(f"{path}/merged", batch_id))
+    for name in ("partials", "base", "reached"):
+        # Of the generation that this merge replaced, all is kept until the next merge.
+        old = [b for b in batches_in(spark, f"{path}/{name}") if b < base or (name == "partials" and b == base)]
+        for b in old:
+            remove(spark, batch_path(f"{path}/{name}", b))
+
+
 def _each(
-    batch: DataFrame, batch_id: int, path: str, size_ms: int, part: str, reduce: Reduce
+    batch: DataFrame,
+    batch_id: int,
+    path: str,
+    size_ms: int,
+    part: str,
+    kind: Kind,
+    arrived: str | None = None,
+    emit: Emit | None = None,
+    merge_every: int = MERGE_EVERY,
 ) -> None:
     spark = batch.sparkSession
     work = batch_path(f"{path}/work", batch_id)
@@ -52,55 +182,62 @@ def _each(
                 now.unionByName(reached).withColumnRenamed("reached", "ts_ms"), part
             )
         write_batch(now, f"{path}/reached", batch_id)
-        kept = drop_late(batch, size_ms, part=part, reached=reached, work=f"{work}/suspects")
-        write_batch(reduce(kept, work, size_ms), f"{path}/partials", batch_id)
+        kept = drop_late(
+            batch, size_ms, part=part, reached=reached, work=f"{work}/suspects", arrived=arrived
+        )
+        write_batch(kind.reduce(kept, work, size_ms), f"{path}/partials", batch_id)
     finally:
         batch.unpersist()
+    if emit is not None:
+        emit(changed(spark, path, batch_id, size_ms, kind), batch_id)
+    if (batch_id + 1) % merge_every == 0:
+        merge(spark, path, batch_id, size_ms, kind)
+    remove(spark, work)
 
 
-def count_exactly(
+def keep_exactly(
     obs: DataFrame,
+    kind: Kind,
     size_ms: int,
     path: str,
     name: str,
     checkpoint: str,
     part: str = "part",
+    arrived: str | None = None,
+    emit: Emit | None = None,
+    merge_every: int = MERGE_EVERY,
     **run,
+) -> StreamingQuery:
+    """Keep an exact table of a stream of valid records.
+
+    ``part`` and ``arrived`` are those of ``late.flag_late``. ``emit`` is given the changed rows of every
+    trigger; a trigger that runs again gives them again.
+    """
+    each = partial(
+        _each, path=path, size_ms=size_ms, part=part, kind=kind, arrived=arrived, emit=emit, merge_every=merge_every
+    )
+    return to_batches(obs, each, name, checkpoint, **{"mode": "append", **run})
+
+
+def count_exactly(
+    obs: DataFrame, size_ms: int, path: str, name: str, checkpoint: str, part: str = "part", **how
 ) -> StreamingQuery:
     """Keep exact counts per key and window of a stream of valid records."""
-    each = partial(_each, path=path, size_ms=size_ms, part=part, reduce=_counts)
-    narrow = obs.select(*dict.fromkeys(["key", "part", part, "off", "ts_ms"]))
-    return to_batches(narrow, each, name, checkpoint, **{"mode": "append", **run})
+    wanted = ["key", "part", part, "off", "ts_ms", how.get("arrived")]
+    narrow = obs.select(*dict.fromkeys(c for c in wanted if c))
+    return keep_exactly(narrow, COUNTS, size_ms, path, name, checkpoint, part, **how)
 
 
 def max_exactly(
-    obs: DataFrame,
-    size_ms: int,
-    path: str,
-    name: str,
-    checkpoint: str,
-    part: str = "part",
-    **run,
+    obs: DataFrame, size_ms: int, path: str, name: str, checkpoint: str, part: str = "part", **how
 ) -> StreamingQuery:
     """Keep the exact winner per key and window of a stream of valid records."""
-    each = partial(_each, path=path, size_ms=size_ms, part=part, reduce=_folds)
-    return to_batches(obs, each, name, checkpoint, **{"mode": "append", **run})
+    return keep_exactly(obs, MAXIMA, size_ms, path, name, checkpoint, part, **how)
 
 
-def read_counts(spark: SparkSession, path: str) -> DataFrame:
-    partials = read_updates(spark, f"{path}/partials")
-    return partials.groupBy("key", START, "window_end_ms").agg(F.sum("n").alias("n"))
+def read_counts(spark: SparkSession, path: str, size_ms: int) -> DataFrame:
+    return read_table(spark, path, size_ms, COUNTS)
 
 
 def read_maxima(spark: SparkSession, path: str, size_ms: int) -> DataFrame:
-    """Combine the triggers' winners: only those from the last reset on compete."""
-    group: Sequence[str] = ("key", START)
-    partials = read_updates(spark, f"{path}/partials").withColumn(
-        "last_reset", F.max(F.when(F.col("reset"), F.col(BATCH))).over(Window.partitionBy(*group))
-    )
-    best = (
-        partials.where(F.col("last_reset").isNull() | (F.col(BATCH) >= F.col("last_reset")))
-        .groupBy(*group)
-        .agg(F.max_by("rec", "rank").alias("rec"))
-    )
-    return best.select("key", *window_bounds(best, size_ms), "rec.*")
+    return read_table(spark, path, size_ms, MAXIMA)

@@ -51,6 +51,11 @@ def to_console(df: DataFrame, name: str, checkpoint: str, **run) -> StreamingQue
     return out.format("console").option("truncate", False).start()
 
 
+def show(rows: DataFrame) -> None:
+    """Print a batch of updates the way the console sink does."""
+    rows.write.format("console").option("truncate", False).mode("append").save()
+
+
 def finish(query: StreamingQuery, seconds: int = 600) -> None:
     """Wait for an ``availableNow`` query, passing on its failure."""
     if not query.awaitTermination(seconds):

@@ -1,5 +1,7 @@
 """Update streams kept as tables in shared storage."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
@@ -12,11 +14,33 @@ def batch_path(path: str, batch_id: int) -> str:
     return f"{path}/{BATCH}={batch_id}"
 
 
-def _has_later_triggers(spark: SparkSession, path: str) -> bool:
+def _folder(spark: SparkSession, path: str):
+    """A Hadoop path and its file system: the store may be any that Spark reaches."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def batches_in(spark: SparkSession, path: str) -> list[int]:
+    """The triggers that have a folder under ``path``, ascending."""
+    folder, files = _folder(spark, path)
     names = [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
-    return any(n.startswith(f"{BATCH}=") and n != f"{BATCH}=0" for n in names)
+    return sorted(int(n.removeprefix(f"{BATCH}=")) for n in names if n.startswith(f"{BATCH}="))
+
+
+def read_batches(spark: SparkSession, path: str, ids: Sequence[int]) -> DataFrame:
+    """The rows that these triggers wrote, with the trigger each came from; other folders are not listed."""
+    rows = spark.read.option("basePath", path).parquet(*[batch_path(path, i) for i in ids])
+    return rows.withColumn(BATCH, F.col(BATCH).cast("bigint"))
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    folder, files = _folder(spark, path)
+    files.mkdirs(folder)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    folder, files = _folder(spark, path)
+    files.delete(folder, True)
 
 
 def write_batch(batch: DataFrame, path: str, batch_id: int) -> None:
@@ -26,7 +50,7 @@ def write_batch(batch: DataFrame, path: str, batch_id: int) -> None:
     first trigger of a new checkpoint refuses a table that holds later triggers: its
     rows would be mixed with those of another run.
     """
-    if batch_id == 0 and _has_later_triggers(batch.sparkSession, path):
+    if batch_id == 0 and any(b > 0 for b in batches_in(batch.sparkSession, path)):
         raise ValueError(f"{path} holds another run's triggers; a new checkpoint needs a new table")
     batch.write.mode("overwrite").parquet(batch_path(path, batch_id))
 
@@ -48,8 +72,8 @@ def read_updates(spark: SparkSession, path: str, schema: StructType | None = Non
     if schema is None:
         return spark.read.parquet(path).withColumn(BATCH, F.col(BATCH).cast("bigint"))
     whole = StructType([*schema.fields, StructField(BATCH, LongType())])
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+    folder, files = _folder(spark, path)
+    if not files.exists(folder):
         return spark.createDataFrame([], whole)
     return spark.read.schema(whole).parquet(path)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from telewin.functions import windowed_key
+from telewin.functions.partitioning import key_partition
 from telewin.operators.windows import END, START
 from telewin.sources.options import overlay
 from telewin.sources.payloads import (
@@ -18,11 +19,6 @@ from telewin.sources.payloads import (
 from telewin.streaming.run import writer
 
 
-def sink_partition(key: Column, partitions: int) -> Column:
-    """Choose by the inner key alone: all windows of a key share a partition."""
-    return F.pmod(F.xxhash64(key), F.lit(partitions)).cast("int")
-
-
 def topic_rows(
     windowed: DataFrame,
     topic: str,
@@ -32,21 +28,23 @@ def topic_rows(
 ) -> DataFrame:
     """``key``, ``value``, ``topic`` (and ``partition``) columns of a topic sink.
 
-    Key and value are JSON unless encoded columns are given. Without
-    ``partitions`` the producer chooses, by the whole windowed key.
+    Key and value are JSON unless encoded columns are given. The partition is the one a
+    producer gives the inner key, so all windows of a key share it, and share it with
+    other records of that key. Without ``partitions`` the producer chooses, by the whole windowed key.
     """
     inner = to_json_key(F.col("key")) if key_bytes is None else key_bytes
     if value_bytes is None:
         open_reading = reading_has_other(windowed.schema)
         value_bytes = to_json_response(F.col("value"), open_reading).cast("binary")
+    encoded = windowed.select(inner.alias("inner"), START, value_bytes.alias("value"))
     columns = [
-        windowed_key.encode(inner, F.col(START)).alias("key"),
-        value_bytes.alias("value"),
+        windowed_key.encode(F.col("inner"), F.col(START)).alias("key"),
+        "value",
         F.lit(topic).alias("topic"),
     ]
     if partitions is not None:
-        columns.append(sink_partition(F.col("key"), partitions).alias("partition"))
-    return windowed.select(*columns)
+        columns.append(key_partition(F.col("inner"), partitions).alias("partition"))
+    return encoded.select(*columns)
 
 
 def read_topic_rows(rows: DataFrame, size_ms: int) -> DataFrame:
@@ -61,6 +59,14 @@ def read_topic_rows(rows: DataFrame, size_ms: int) -> DataFrame:
     )
 
 
+def publish(
+    rows: DataFrame, brokers: str, user_options: Mapping[str, str] | None = None
+) -> None:
+    """Write a batch of topic rows."""
+    options = overlay({"kafka.bootstrap.servers": brokers}, user_options)
+    rows.write.format("kafka").options(**options).save()
+
+
 def to_topic(
     rows: DataFrame,
     brokers: str,

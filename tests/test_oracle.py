@@ -29,5 +29,5 @@ def test_query_equals_sql(spark, name):
         expected = rows_of(columns, want.fetchall())
     assert expected[1], "the comparison must not be vacuous"
     assert rows_of(got.columns, [tuple(r) for r in got.collect()]) == expected
-    spelled = {"string": "varchar"}
+    spelled = {"string": "varchar", "int": "integer"}
     assert {n: spelled.get(t, t) for n, t in got.dtypes} == types

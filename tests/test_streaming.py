@@ -194,7 +194,7 @@ def test_ledger_drops_late_records_exactly(spark, log, tmp_path):
         )
     )
     kept = valid(spark, [r for r in rows if r.off not in late])
-    got = pairs(ledger.read_counts(spark, f"{tmp_path}/t"), *COUNT)
+    got = pairs(ledger.read_counts(spark, f"{tmp_path}/t", MINUTE_MS), *COUNT)
     assert got == pairs(count_by_window(kept), *COUNT)
 
 
@@ -219,11 +219,11 @@ def test_ledger_trigger_can_run_again(spark, tmp_path):
     for batch_id, piece in enumerate(pieces):
         for _ in range(2):
             ledger._each(
-                valid(spark, piece), batch_id, f"{tmp_path}/t", MINUTE_MS, "part", ledger._counts
+                valid(spark, piece), batch_id, f"{tmp_path}/t", MINUTE_MS, "part", ledger.COUNTS
             )
     late = late_offsets(rows, MINUTE_MS, grace_ms(MINUTE_MS))
     kept = valid(spark, [r for r in rows if r.off not in late])
-    got = pairs(ledger.read_counts(spark, f"{tmp_path}/t"), *COUNT)
+    got = pairs(ledger.read_counts(spark, f"{tmp_path}/t", MINUTE_MS), *COUNT)
     assert got == pairs(count_by_window(kept), *COUNT)
 
 
