@@ -31,21 +31,15 @@ _EPS = 1e-6
 
 
 def as_integers(vectors: DataFrame, scale: int = 64) -> DataFrame:
-    """``vec_id, v``: floor(scale * x) of every component, x as double, as float64 bytes.
+    """``row, vec_id, v``: a number of its own, and floor(scale * x) of every component, x as double.
 
     Vectors that are null, empty or hold null or non-finite components, and rows without an
-    id, are left out; so are vectors whose length is not the most frequent one
-    (of equally frequent ones, the greatest). Of rows that share an id the least vector is taken.
+    id, are left out. Rows that share an id are all kept.
     """
     x = F.transform("embedding", lambda c: F.floor(c.cast("double") * scale).cast("double"))
     finite = ~F.exists("embedding", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(
-        F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & finite
-    )
-    usual = good.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    good = good.where(F.size("embedding") == (usual["n"] if usual else 0))
-    one = good.select("vec_id", x.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
-    return one
+    good = vectors.where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & finite)
+    return good.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), x.alias("v"))
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -77,12 +71,12 @@ class Pivots:
 
 def _choose(rows: DataFrame, pivots: int) -> Pivots:
     radius2 = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).first()[0] or 0.0
-    chosen = rows.select("v", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(pivots).collect()
+    chosen = rows.select("v", F.xxhash64("row").alias("h"), "row").orderBy("h", "row").limit(pivots).collect()
     return Pivots(np.array([r["v"] for r in chosen], dtype=np.float64), float(radius2))
 
 
 def _keyed(rows: DataFrame, pivots: Pivots) -> DataFrame:
-    """``vec_id, v, pivot, d``: the nearest pivot and the distance to it."""
+    """``row, vec_id, v, pivot, d``: the nearest pivot and the distance to it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -91,24 +85,24 @@ def _keyed(rows: DataFrame, pivots: Pivots) -> DataFrame:
                 near = d.argmin(1)
                 yield batch.assign(pivot=near.astype(np.int32), d=d[np.arange(len(d)), near])
 
-    return rows.mapInPandas(run, "vec_id long, v array<double>, pivot int, d double")
+    return rows.mapInPandas(run, "row long, vec_id long, v array<double>, pivot int, d double")
 
 
 def _rings(keyed: DataFrame, ring_rows: int) -> DataFrame:
-    """``ring, vec_id, v, d``: rings of equal width, those of too many rows dealt out by a hash."""
+    """``pivot, at, cut, row, vec_id, v, d``: rings of equal width, those of too many rows dealt out by a hash."""
     sizes = keyed.groupBy("pivot").agg(
         F.min("d").alias("lo"), ((F.max("d") - F.min("d")) / F.ceil(F.count(F.lit(1)) / F.lit(ring_rows))).alias("width")
     )
     at = F.when(F.col("width") > 0, F.floor((F.col("d") - F.col("lo")) / F.col("width"))).otherwise(0).cast("int")
     # There are as many pivots as PIVOTS says.
-    ringed = keyed.join(F.broadcast(sizes), "pivot").select("vec_id", "v", "d", "pivot", at.alias("at"))
+    ringed = keyed.join(F.broadcast(sizes), "pivot").select("row", "vec_id", "v", "d", "pivot", at.alias("at"))
     cuts = ringed.groupBy("pivot", "at").agg(F.ceil(F.count(F.lit(1)) / F.lit(ring_rows)).alias("cuts"))
-    cut = F.pmod(F.xxhash64("vec_id"), F.col("cuts"))
-    return ringed.join(cuts, ["pivot", "at"]).select("pivot", "at", cut.alias("cut"), "vec_id", "v", "d")
+    cut = F.pmod(F.xxhash64("row"), F.col("cuts"))
+    return ringed.join(cuts, ["pivot", "at"]).select("pivot", "at", cut.alias("cut"), "row", "vec_id", "v", "d")
 
 
 def _blocks(rows: DataFrame, keys: list[str], dims: int) -> DataFrame:
-    """One row for each value of ``keys``: its ids and vectors as bytes, and the range of ``d``."""
+    """One row for each value of ``keys``: its rows' numbers, ids and vectors as bytes, and the range of ``d``."""
 
     def block(key: tuple, table: pa.Table) -> pa.Table:
         v = table.column("v").combine_chunks().flatten().to_numpy().astype(np.float32)
@@ -118,6 +112,7 @@ def _blocks(rows: DataFrame, keys: list[str], dims: int) -> DataFrame:
         return pa.table(
             {
                 **{k: pa.array([x.as_py()], x.type) for k, x in zip(keys, key, strict=True)},
+                "names": [table.column("row").to_numpy()[order].tobytes()],
                 "ids": [ids[order].tobytes()],
                 "rows": [v.reshape(-1, dims)[order].tobytes()],
                 "lo": [d.min()],
@@ -126,14 +121,14 @@ def _blocks(rows: DataFrame, keys: list[str], dims: int) -> DataFrame:
         )
 
     kinds = ", ".join(f"{k} {dict(rows.dtypes)[k]}" for k in keys)
-    return rows.groupBy(*keys).applyInArrow(block, f"{kinds}, ids binary, rows binary, lo double, hi double")
+    return rows.groupBy(*keys).applyInArrow(block, f"{kinds}, names binary, ids binary, rows binary, lo double, hi double")
 
 
-def _best(score: np.ndarray, ids: np.ndarray, query: np.ndarray, k: int) -> list[np.ndarray]:
-    """Of every row of ``score``, the places of the ``k`` greatest, ties to the smaller id, without the query's own."""
+def _best(score: np.ndarray, ids: np.ndarray, names: np.ndarray, query: np.ndarray, k: int) -> list[np.ndarray]:
+    """Of every row of ``score``, the places of the ``k`` greatest, ties to the smaller id, without the query's own row."""
     out = []
     for s, q in zip(score, query, strict=True):
-        allowed = np.flatnonzero(ids != q)
+        allowed = np.flatnonzero(names != q)
         if len(allowed) > k:
             least = np.partition(s[allowed], len(allowed) - k)[len(allowed) - k]
             allowed = allowed[s[allowed] >= least]
@@ -142,31 +137,31 @@ def _best(score: np.ndarray, ids: np.ndarray, query: np.ndarray, k: int) -> list
 
 
 def _visited(visits: DataFrame, k: int, dims: int) -> DataFrame:
-    """``query_id, vec_id, score``: at most ``k`` rows of every visit and query."""
+    """``query, vec_id, score``: at most ``k`` rows of every visit and query, which is the number of its row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for q_ids, q_rows, mask, ids, rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for q_names, q_rows, mask, names, ids, rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 wanted = np.frombuffer(mask, dtype=bool)
-                queries = np.frombuffer(q_ids, dtype=np.int64)[wanted]
+                queries = np.frombuffer(q_names, dtype=np.int64)[wanted]
                 q = np.frombuffer(q_rows, dtype=np.float32).reshape(-1, dims)[wanted].astype(np.float64)
                 x = np.frombuffer(rows, dtype=np.float32).reshape(-1, dims).astype(np.float64)
-                names, score = np.frombuffer(ids, dtype=np.int64), q @ x.T
-                found = _best(score, names, queries, k)
+                ids, score = np.frombuffer(ids, dtype=np.int64), q @ x.T
+                found = _best(score, ids, np.frombuffer(names, dtype=np.int64), queries, k)
                 size = [len(f) for f in found]
                 at = np.concatenate(found).astype(np.int64) if found else np.zeros(0, np.int64)
                 row = np.repeat(np.arange(len(found)), size)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(queries[row]), pa.array(names[at]), pa.array(score[row, at].astype(np.int64))],
-                    names=["query_id", "vec_id", "score"],
+                    [pa.array(queries[row]), pa.array(ids[at]), pa.array(score[row, at].astype(np.int64))],
+                    names=["query", "vec_id", "score"],
                 )
 
-    columns = visits.select("q_ids", "q_rows", "mask", "ids", "rows")
-    return columns.mapInArrow(run, "query_id long, vec_id long, score long")
+    columns = visits.select("q_names", "q_rows", "mask", "names", "ids", "rows")
+    return columns.mapInArrow(run, "query long, vec_id long, score long")
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -180,7 +175,7 @@ def _planned(blocks: DataFrame, pivots: Pivots, rings: np.ndarray, dims: int, fi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for q_ids, q_rows, far in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for q_names, q_rows, far in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 q = np.frombuffer(q_rows, dtype=np.float32).reshape(-1, dims).astype(np.float64)
                 d = pivots.of_queries(q)[:, index]
                 bound = np.maximum(np.maximum(lo - d, d - hi), 0)
@@ -197,32 +192,37 @@ def _planned(blocks: DataFrame, pivots: Pivots, rings: np.ndarray, dims: int, fi
                             pa.array(rings[use, 0].astype(np.int32)),
                             pa.array(rings[use, 1].astype(np.int32)),
                             pa.array(rings[use, 2].astype(np.int64)),
-                            pa.array([q_ids] * len(use), pa.binary()),
+                            pa.array([q_names] * len(use), pa.binary()),
                             pa.array([q_rows] * len(use), pa.binary()),
                             pa.array([np.ascontiguousarray(nearest[:, j]).tobytes() for j in use], pa.binary()),
                         ],
-                        names=["pivot", "at", "cut", "q_ids", "q_rows", "mask"],
+                        names=["pivot", "at", "cut", "q_names", "q_rows", "mask"],
                     )
 
-    return blocks.select("ids", "rows", "far").mapInArrow(
-        run, "pivot int, at int, cut long, q_ids binary, q_rows binary, mask binary"
+    return blocks.select("names", "rows", "far").mapInArrow(
+        run, "pivot int, at int, cut long, q_names binary, q_rows binary, mask binary"
     )
 
 
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` greatest integer inner products of every query.
 
-    Queries are the rows whose ``vec_id`` is divisible by ``every``; candidates
-    are all rows but the query's own. Ties go to the smaller id. For fewer candidates
-    than ``k``, all are given. What takes no part is said at ``as_integers``. An
-    empty table gives no rows; columns other than ``vec_id`` and ``embedding`` are not read.
+    Queries are the rows whose ``vec_id`` is divisible by ``every``; candidates are all rows but the query's own, of
+    vectors of the same length, each length having an index of its own. Ties go to the smaller id. For fewer
+    candidates than ``k``, all are given. What takes no part is said at ``as_integers``. Rows that share an id are
+    queries and candidates each for itself. An empty table gives no rows; columns other than ``vec_id`` and
+    ``embedding`` are not read.
     """
-    spark = vectors.sparkSession
     rows = written(as_integers(vectors, scale), "vectors")
-    one = rows.select(F.size("v").alias("n")).first()
-    if one is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    dims = one["n"]
+    lengths = sorted(r["n"] for r in rows.select(F.size("v").alias("n")).distinct().collect())
+    out = None
+    for dims in lengths:
+        found = _top_of_length(rows.where(F.size("v") == dims), dims, k, every)
+        out = found if out is None else out.unionByName(found)
+    return out or vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+
+
+def _top_of_length(rows: DataFrame, dims: int, k: int, every: int) -> DataFrame:
     pivots = _choose(rows, PIVOTS)
     ring_rows = max(RING_ROWS, rows.count() // 20_000)
     keyed = written(_keyed(rows, pivots), "keyed")
@@ -237,41 +237,31 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
     share = max(1, min(PIVOTS, asked.count() // QUERY_ROWS))
     asked = asked.withColumn("part", F.floor(F.col("pivot") * share / PIVOTS).cast("int"))
     per = asked.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / F.lit(QUERY_ROWS)).alias("cuts"))
-    asked = asked.join(F.broadcast(per), "part").withColumn("cut", F.pmod(F.xxhash64("vec_id"), "cuts"))
-    queries = written(_blocks(asked.select("part", "cut", "vec_id", "v", "d"), ["part", "cut"], dims), "queries")
-    ringed = ring_blocks.select("pivot", "at", "cut", "ids", "rows")
-    plain = queries.select("ids", "rows", F.lit(b"").alias("far"))
+    asked = asked.join(F.broadcast(per), "part").withColumn("cut", F.pmod(F.xxhash64("row"), "cuts"))
+    queries = written(_blocks(asked.select("part", "cut", "row", "vec_id", "v", "d"), ["part", "cut"], dims), "queries")
+    ringed = ring_blocks.select("pivot", "at", "cut", "names", "ids", "rows")
+    plain = queries.select("names", "rows", F.lit(b"").alias("far"))
     visit = written(_planned(plain, pivots, rings, dims, FIRST, False), "visits").join(ringed, ["pivot", "at", "cut"])
     found = written(_top(_visited(visit, k, dims), k), "found")
-    worst = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
+    worst = found.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    far = (
-        asked.join(worst, F.col("vec_id") == F.col("query_id"), "left")
-        .select(
-            "part",
-            "cut",
-            "vec_id",
-            "v",
-            F.when(F.col("n") >= k, square + F.lit(pivots.radius2) - 2 * F.col("least"))
-            .otherwise(float("inf"))
-            .alias("d"),
-        )
-        .where("d is not null")
-    )
+    far = F.when(F.col("n") >= k, square + F.lit(pivots.radius2) - 2 * F.col("least")).otherwise(float("inf"))
+    limited = asked.join(worst, F.col("row") == F.col("query"), "left").select("part", "cut", "row", "v", far.alias("d"))
 
     def block(key: tuple, table: pa.Table) -> pa.Table:
         v = table.column("v").combine_chunks().flatten().to_numpy().astype(np.float32)
         return pa.table(
             {
-                "ids": [table.column("vec_id").to_numpy().tobytes()],
+                "names": [table.column("row").to_numpy().tobytes()],
                 "rows": [v.tobytes()],
                 "far": [table.column("d").to_numpy().astype(np.float64).tobytes()],
             }
         )
 
     # Every step in Python is written, so that no task holds two of them.
-    limits = written(far.groupBy("part", "cut").applyInArrow(block, "ids binary, rows binary, far binary"), "limits")
+    limits = written(limited.groupBy("part", "cut").applyInArrow(block, "names binary, rows binary, far binary"), "limits")
     visit = written(_planned(limits, pivots, rings, dims, FIRST, True), "visits").join(ringed, ["pivot", "at", "cut"])
     more = written(_visited(visit, k, dims), "more")
-    both = found.select("query_id", "vec_id", "score").unionByName(more)
-    return _top(both, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    top = _top(found.select("query", "vec_id", "score").unionByName(more), k)
+    names = asked.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"))
+    return top.join(names, "query").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
