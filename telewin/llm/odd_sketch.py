@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..workspace import stage
-from .components import components
+from . import linking
 from .shared import written
-from .words import SPACED, Block, blocks, grams, mix
+from .words import SPACED, Block, blocks, mix
 
 #: Samples in a band; the number of bands follows from the threshold and ``MISSED``.
 ROWS = 5
@@ -39,12 +39,6 @@ SLACK = 5.5
 SKETCH_BITS = 512
 #: Of the sketch of the whole set.
 PARITY_BITS = 1024
-#: Centers of a bucket in the rounds before the last.
-STARS = (1, 8)
-#: Most outsiders and members, about, that meet in one cell of the last round.
-CELL = (1024, 4096)
-#: Pairs whose whole sets a task holds at a time.
-CONFIRMED = 256
 
 _U = np.uint64
 
@@ -54,20 +48,8 @@ def bands_for(percent: int) -> int:
     return max(1, math.ceil(math.log(MISSED) / math.log(1 - t**ROWS))) if t < 1 else 1
 
 
-def _shingles(block: Block, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles by text, ascending, and where each text begins."""
-    found, owner = grams(block.hashes(), block.doc, block.texts, k)
-    at = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=block.texts))])
-    for i in range(block.texts):
-        found[at[i] : at[i + 1]].sort()
-    new = np.ones(len(found), dtype=bool)
-    new[1:] = (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])
-    found, owner = found[new], owner[new]
-    return found, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=block.texts))])
-
-
 def _sketched(block: Block, k: int, bands: int) -> dict[str, np.ndarray]:
-    found, at = _shingles(block, k)
+    found, at = linking.shingles(block, k)
     size = np.diff(at)
     has = np.flatnonzero(size)
     begin = at[:-1][has]
@@ -170,34 +152,6 @@ def least_estimate(percent: int, samples: int) -> float:
     return t - SLACK * math.sqrt(spread)
 
 
-def _confirm(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, CONFIRMED):
-            part = batch.slice(at, CONFIRMED)
-            sides = []
-            for column in (2, 3):
-                sets = []
-                for block in blocks(part.column(column), SPACED):
-                    found, begin = _shingles(block, k)
-                    sets += [found[begin[i] : begin[i + 1]] for i in range(block.texts)]
-                sides.append(sets)
-            good = np.zeros(part.num_rows, dtype=bool)
-            for i, (x, y) in enumerate(zip(*sides, strict=True)):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good[i] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
-            yield part.select([0, 1]).filter(pa.array(good))
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFrame:
-    """Those of ``pairs`` (``u``, ``v``) that are near enough by their whole shingle sets."""
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("x")).distinct()
-    wanted = stage(ids, name="llm-wanted").sized()
-    texts = docs.select(F.col("doc_id").cast("long").alias("x"), F.col("text").alias("t")).join(wanted, "x", "left_semi")
-    first = pairs.join(texts.select(F.col("x").alias("u"), F.col("t").alias("s")), "u")
-    whole = first.join(texts.withColumnRenamed("x", "v"), "v").select("u", "v", "s", "t")
-    return whole.mapInArrow(lambda batches: _confirm(batches, k, percent), "u long, v long")
-
-
 def linked(docs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
     """``rep``, ``root`` for the representatives of distinct sets that have a link."""
     spark = docs.sparkSession
@@ -214,14 +168,12 @@ def linked(docs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
     members = written(keys.join(shared, "band", "left_semi"), "members")
     comps = spark.createDataFrame([], "rep long, root long")
     tested = spark.createDataFrame([], "u long, v long")
-    for turn, stars in enumerate((*STARS, None)):
-        placed = members.join(comps, "rep", "left").select("band", "rep", F.coalesce("root", "rep").alias("root"))
-        open_ = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-        live = written(placed.join(open_.select("band"), "band", "left_semi"), "live")
+    for turn, stars in enumerate((*linking.STARS, None)):
+        live = written(linking.still_open(members, comps), "live")
         if live.isEmpty():
             break
         if stars:
-            centers = written(_stars(live, stars, turn), "centers")
+            centers = written(linking.centers_of(live, stars, turn), "centers")
             members = live.select("band", "rep").join(
                 centers.select("band", F.col("center").alias("rep")), ["band", "rep"], "left_anti"
             )
@@ -233,52 +185,15 @@ def linked(docs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
             pairs = live.join(sketch, "rep").join(held, "band").where(near)
             pairs = pairs.select(F.least("rep", "center").alias("u"), F.greatest("rep", "center").alias("v"))
         else:
-            cells = _cells(live).join(sketch, "rep").repartition("band", "block", "slice")
+            cells = linking.cells(live).join(sketch, "rep").repartition("band", "block", "slice")
             cells = cells.sortWithinPartitions("band", "block", "slice", F.desc("outsider")).select(*CELL_COLUMNS)
             pairs = cells.mapInArrow(lambda batches: _in_cells(batches, percent, samples), "u long, v long")
         pairs = written(pairs.distinct().join(tested, ["u", "v"], "left_anti"), "pairs")
         tested = tested.unionByName(pairs)
-        comps = written(_joined(comps, confirmed(pairs, docs, percent, k)), "comps")
+        comps = written(linking.joined(comps, linking.confirmed(pairs, docs, percent, k)), "comps")
     return comps
 
 
-def _stars(live: DataFrame, stars: int, turn: int) -> DataFrame:
-    """Up to ``stars`` centers of every bucket."""
-    deal = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(stars))
-    least = live.groupBy("band", deal.alias("deal")).agg(F.min("rep").alias("center"), F.min_by("root", "rep").alias("center_root"))
-    return least.select("band", "center", "center_root")
-
-
-def _cells(live: DataFrame) -> DataFrame:
-    """Rows outside their bucket's largest component, and all rows, dealt to the cells of a grid.
-
-    An outsider meets every row of its bucket in exactly one cell.
-    """
-    sizes = live.groupBy("band", "root").agg(F.count(F.lit(1)).alias("size"))
-    grid = sizes.groupBy("band").agg(
-        F.max_by("root", F.struct("size", "root")).alias("main"), F.sum("size").alias("rows"), F.max("size").alias("most")
-    )
-    grid = grid.select(
-        "band",
-        "main",
-        F.ceil((F.col("rows") - F.col("most")) / CELL[0]).cast("int").alias("blocks"),
-        F.ceil(F.col("rows") / CELL[1]).cast("int").alias("slices"),
-    )
-    dealt = live.join(written(grid, "grid"), "band")
-
-    def own(seed: int, of: str) -> Column:
-        return F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(of)).cast("int")
-
-    def each(of: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-
-    key = ["band", "rep", "root"]
-    outsiders = dealt.where("root <> main").select(*key, own(1, "blocks").alias("block"), each("slices").alias("slice"), F.lit(True).alias("outsider"))
-    return outsiders.unionByName(
-        dealt.select(*key, each("blocks").alias("block"), own(2, "slices").alias("slice"), F.lit(False).alias("outsider"))
-    )
-
-
 CELL_COLUMNS = ("band", "block", "slice", "outsider", "rep", "root", "n", "odd", "parity")
 
 
@@ -326,19 +241,6 @@ def _near(centers: list[np.ndarray], members: list[np.ndarray], percent: int, mo
     return c_rep[i], rep[j]
 
 
-def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
-    """``comps`` after ``links`` between their nodes, or nodes not in them yet."""
-    lead = comps.select(F.col("rep").alias("x"), "root")
-    ends = links.join(lead.select(F.col("x").alias("u"), F.col("root").alias("ru")), "u", "left").join(
-        lead.select(F.col("x").alias("v"), F.col("root").alias("rv")), "v", "left"
-    )
-    merged = components(ends.select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v")))
-    moved = comps.join(merged.select(F.col("u").alias("root"), F.col("root").alias("to")), "root", "left").select(
-        "rep", F.coalesce("to", "root").alias("root")
-    )
-    return moved.unionByName(merged.select(F.col("u").alias("rep"), "root").join(comps, "rep", "left_anti"))
-
-
 def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``.
 
@@ -354,21 +256,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = written(sketches(docs, percent, k), "sketches")
-    roots = linked(docs, sets, percent, k)
-    full = sets.where("n > 0 and doc_id is not null")
-    classes = full.groupBy("a", "b").agg(F.min("doc_id").alias("rep"))
-    classes = classes.join(roots, "rep", "left").select(
-        F.col("a").alias("ca"), F.col("b").alias("cb"), F.coalesce("root", "rep").alias("component_id")
-    )
-    here = (F.col("a") == F.col("ca")) & (F.col("b") == F.col("cb")) & (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    joined = sets.select("doc_id", "n", "a", "b").join(classes, here, "left")
-    component = F.coalesce("component_id", "doc_id")
-    return joined.select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
-    )
+    found = linking.with_components(sets, linked(docs, sets, percent, k))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
