@@ -26,6 +26,8 @@ LONG_WORD, SHORT = 33, 24
 _WORD = r"[^\x20\x09-\x0D]"
 #: Letters of scripts that put no spaces between words.
 _UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]"
+#: Most ranges that quantiles cut the ids into.
+CELLS = 4096
 #: Places of the code points of short texts count from here.
 POINTS = 2**30
 
@@ -94,60 +96,85 @@ def likeness(left: str, right: str) -> Column:
     return F.when(either == 0, 1.0).otherwise(F.size(F.array_intersect(left, right)) / either)
 
 
+def _at_or_below(cuts: list[float], value: Column) -> Column:
+    """How many of the ascending ``cuts`` are at or below ``value``, by halving."""
+    steps = [2**i for i in reversed(range(len(cuts).bit_length()))]
+    held = F.array(*[F.lit(c) for c in cuts])
+    # The element before place n + step tells whether so many are.
+    ahead = lambda n, step: F.when(F.get(held, n + step - 1) <= value, n + step).otherwise(n)
+    return F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), ahead)
+
+
+def _shares(value: Column, low: Column, high: Column, cuts: Column) -> Column:
+    """In which of ``cuts`` equal parts of [``low``, ``high``] a value lies; in doubles, since ids may be far apart."""
+    width = high.cast("double") - low.cast("double")
+    part = F.floor((value.cast("double") - low.cast("double")) / width * cuts)
+    return F.when(width > 0, F.least(part, cuts - 1)).otherwise(0)
+
+
 def _ranges(docs: DataFrame, rows_each: int) -> DataFrame:
-    """``docs`` with ``cell`` and ``sub``: ranges of ascending doc_id of about ``rows_each`` rows.
+    """``docs`` with ``cell`` and ``sub``: ranges of ascending ``doc_id`` and ``mark`` of about ``rows_each`` rows.
 
-    A grid of at most 65,536 cells over the ids is counted; a cell that holds
-    more is cut again. Rows without an id come first, in any order.
+    Quantiles of the ids are the cuts of the cells, at most ``CELLS``; an id that makes up several quantiles has a cell of
+    its own. A cell that holds more is cut again: by its ids, or where it has but one id, by ``mark``, a hash of the text
+    that orders rows of equal id. Rows without an id come first.
     """
-    n, low, high = docs.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
-    low, high = low or 0, high or 0
-    cells = max(1, min(65_536, n // rows_each))
-    width = (high - low) // cells + 1
-    cell = F.coalesce(F.floor((F.col("doc_id") - low) / width), F.lit(-1)).cast("long")
-    placed = docs.withColumn("cell", cell)
-    counts = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(4 * rows_each)).alias("cuts"))
-    inside = F.floor((F.col("doc_id") - low - F.col("cell") * width) * F.col("cuts") / width)
-    sub = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.col("cuts"))).otherwise(inside)
-    return placed.join(F.broadcast(counts), "cell").withColumn("sub", sub.cast("long")).drop("cuts")
+    n = docs.count()
+    cells = max(1, min(CELLS, n // rows_each))
+    found = docs.where("doc_id is not null").approxQuantile("doc_id", [i / cells for i in range(1, cells)], 1 / (4 * cells)) if cells > 1 else []
+    cuts = sorted({*found, *(c + 1 for c, again in zip(found, found[1:]) if c == again)})
+    cell = _at_or_below(cuts, F.col("doc_id").cast("double")) if cuts else F.lit(0)
+    placed = docs.withColumn("cell", F.when(F.col("doc_id").isNull(), -1).otherwise(cell).cast("long"))
+    ends = [f(c).alias(f"{name}_{c}") for c in ("doc_id", "mark") for name, f in (("lo", F.min), ("hi", F.max))]
+    counts = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(4 * rows_each)).alias("cuts"), *ends)
+    joined = placed.join(F.broadcast(counts), "cell")
+    ids = _shares(F.col("doc_id"), F.col("lo_doc_id"), F.col("hi_doc_id"), F.col("cuts"))
+    marks = _shares(F.col("mark"), F.col("lo_mark"), F.col("hi_mark"), F.col("cuts"))
+    sub = F.when(F.col("lo_doc_id") < F.col("hi_doc_id"), ids).otherwise(marks)
+    return joined.withColumn("sub", sub.cast("long")).drop("cuts", "lo_doc_id", "hi_doc_id", "lo_mark", "hi_mark")
 
 
 def with_next(docs: DataFrame, rows_each: int = 500) -> DataFrame:
-    """``cell, sub, tail, doc_id, text, next_text``: each document and the text after it by ascending doc_id.
+    """``cell, sub, tail, doc_id, mark, text, next_text``: each document and the text after it by ascending doc_id.
 
-    After the last comes the first; rows of one id are ordered by text. Texts
+    After the last comes the first; rows of one id are ordered by a hash of the text, then by the text. Texts
     are shuffled once. Every range also gets, as its ``tail``, a copy of the
     first row of the range after it; tails have no next text.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ranged = _ranges(docs, rows_each)
-    firsts = ranged.groupBy("cell", "sub").agg(F.min("doc_id").alias("first"))
+    ranged = _ranges(docs.withColumn("mark", F.xxhash64("text")), rows_each)
+    firsts = ranged.groupBy("cell", "sub").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
     order = Window.orderBy("cell", "sub")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     # The ranges are at most some 100,000; their order needs no text.
     before = firsts.select(
         "cell",
         "sub",
-        "first",
+        F.col("first.doc_id").alias("first_id"),
+        F.col("first.mark").alias("first_mark"),
         F.coalesce(F.lag("cell").over(order), F.last("cell").over(whole)).alias("to_cell"),
         F.coalesce(F.lag("sub").over(order), F.last("sub").over(whole)).alias("to_sub"),
     )
     same = (
-        (ranged["cell"] == before["cell"]) & (ranged["sub"] == before["sub"]) & ranged["doc_id"].eqNullSafe(before["first"])
+        (ranged["cell"] == before["cell"])
+        & (ranged["sub"] == before["sub"])
+        & ranged["doc_id"].eqNullSafe(before["first_id"])
+        & (ranged["mark"] == before["first_mark"])
     )
     tails = (
         ranged.join(F.broadcast(before), same)
-        .groupBy(before["to_cell"].alias("cell"), before["to_sub"].alias("sub"), ranged["doc_id"])
+        .groupBy(before["to_cell"].alias("cell"), before["to_sub"].alias("sub"), ranged["doc_id"], ranged["mark"])
         .agg(F.min("text").alias("text"))
     )
-    both = ranged.select("cell", "sub", F.lit(0).alias("tail"), "doc_id", "text").unionByName(
-        tails.select("cell", "sub", F.lit(1).alias("tail"), "doc_id", "text")
+    columns = ["doc_id", "mark", "text"]
+    both = ranged.select("cell", "sub", F.lit(0).alias("tail"), *columns).unionByName(
+        tails.select("cell", "sub", F.lit(1).alias("tail"), *columns)
     )
     return both.withColumn("next_text", F.lead("text").over(in_range()))
 
 
 def in_range() -> Window:
-    return Window.partitionBy("cell", "sub").orderBy("tail", "doc_id", "text")
+    return Window.partitionBy("cell", "sub").orderBy("tail", "doc_id", "mark", "text")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from telewin.llm import (
     components,
     host_suffixes,
     license_templates,
+    linking,
     lpt_shards,
     odd_sketch,
     pattern_packing,
@@ -116,6 +117,22 @@ def test_edited_texts_and_likeness(odd, docs):
     assert got[0].fingerprint == got[1].fingerprint and got[0].near_next == 1
 
 
+def test_next_texts_of_far_apart_and_repeated_ids(spark):
+    """Ranges stay small whatever the ids are, and rows of one id follow each other by mark."""
+    far = [-(2**63), -(2**62), 2**40, 10**15, 2**63 - 1]
+    ids = [*range(300), *far, *[77] * 200, *[None] * 60]
+    df = spark.createDataFrame([(i, f"text {n}", "x") for n, i in enumerate(ids)], "doc_id long, text string, mark string")
+    marks = {r.text: r.m for r in df.select("text", F.xxhash64("text").alias("m")).collect()}
+    order = sorted(((i is not None, i or 0, marks[f"text {n}"]), i, f"text {n}") for n, i in enumerate(ids))
+    want = {t: (i, order[(at + 1) % len(order)][2]) for at, (_, i, t) in enumerate(order)}
+    out = winnowing.with_next(df, 4)
+    rows = out.where("tail = 0").collect()
+    assert {r.text: (r.doc_id, r.next_text) for r in rows} == want
+    sizes = [r["count"] for r in out.where("tail = 0").groupBy("cell", "sub").count().collect()]
+    assert len(sizes) > 40 and max(sizes) <= 48
+    assert winnowing.edited_fingerprints(df).count() == len(ids)
+
+
 def test_winnowing_takes_the_rightmost_least_of_every_window(spark):
     words = [f"w{i % 7}" for i in range(60)]
     df = spark.createDataFrame([(" ".join(words),)], "text string")
@@ -290,16 +307,19 @@ def test_top_k_equals_brute_force(spark):
     x = np.round(rng.normal(size=(300, 6)), 2)
     x[50:90] = x[50]
     rows = [(int(i), [float(c) for c in v]) for i, v in enumerate(x)]
-    odd_rows = [(300, None), (301, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (302, [float("nan")] * 6), (320, [1.0]), (None, rows[0][1])]
-    df = spark.createDataFrame([*rows, *odd_rows, rows[7]], "vec_id long, embedding array<float>")
-    whole = np.floor(64 * x.astype(np.float32).astype(float)).astype(int)
+    # Rows that share an id with others or each other, and vectors of another length.
+    rows += [rows[7], (40, rows[3][1]), (40, rows[40][1]), (9, rows[120][1])]
+    rows += [(i, [float(i % 4), 1.5]) for i in range(400, 425)]
+    odd_rows = [(300, None), (301, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (302, [float("nan")] * 6), (320, []), (None, rows[0][1])]
+    df = spark.createDataFrame([*rows, *odd_rows], "vec_id long, embedding array<float>")
+    whole = [(i, np.floor(64 * np.array(v, dtype=np.float32).astype(float)).astype(int)) for i, v in rows]
     want = []
-    for q in range(0, 300, 20):
-        score = whole @ whole[q]
-        best = [int(j) for j in np.lexsort((np.arange(300), -score)) if j != q][:20]
-        want += [(q, r + 1, j, int(score[j])) for r, j in enumerate(best)]
+    for at, (q, v) in enumerate(whole):
+        if q % 20 == 0:
+            other = [(-int(v @ w), i) for j, (i, w) in enumerate(whole) if j != at and len(w) == len(v)]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(other)[:20])]
     got = sorted(tuple(r) for r in pivot_index.top_k(df).collect())
-    assert got == want
+    assert got == sorted(want)
     assert pivot_index.top_k(df.limit(0)).count() == 0
 
 
@@ -404,8 +424,8 @@ def test_empty_tables(odd, labels, run):
 def test_cells_hold_what_stars_would(spark, docs, monkeypatch):
     """The last round alone, over a grid of tiny cells, finds the components that all rounds find."""
     whole = {tuple(r) for r in odd_sketch.near_duplicates(docs, 85).collect()}
-    monkeypatch.setattr(odd_sketch, "STARS", ())
-    monkeypatch.setattr(odd_sketch, "CELL", (2, 3))
+    monkeypatch.setattr(linking, "STARS", ())
+    monkeypatch.setattr(linking, "CELL", (2, 3))
     assert {tuple(r) for r in odd_sketch.near_duplicates(docs, 85).collect()} == whole
 
 
