@@ -41,6 +41,9 @@ def parser() -> argparse.ArgumentParser:
             one.add_argument("output_topic", nargs="?", default=MaxSettings.output_topic)
         one.add_argument("checkpoint", nargs="?", help="folder in shared storage")
         one.add_argument("--option", action="append", default=[], type=name_and_value)
+        one.add_argument("--properties", help="a Java properties file of the client; need not exist")
+        if job == "counts":
+            one.add_argument("--printed", type=int, default=settings.printed, help="rows printed a trigger")
         for name in ("--key-schema", "--value-schema"):
             one.add_argument(name, action="append", default=[], type=id_and_schema)
         for name in ("--key-reader-schema", "--value-reader-schema"):

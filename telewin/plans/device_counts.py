@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from telewin.operators.counts import count_both_levels, count_by_window
 from telewin.operators.records import rekey_by_resource
 from telewin.operators.windows import MINUTE_MS
-from telewin.plans.source import arrival_of, observations, rekeyed
+from telewin.plans.source import arrival_of, observations, rekeyed, with_properties
 from telewin.settings import CountSettings
 from telewin.streaming import ledger
 from telewin.streaming.run import show, to_console, use_stream_settings
@@ -43,14 +43,15 @@ def start_exact(
     spark: SparkSession,
     obs: DataFrame,
     settings: CountSettings,
-    emit: Callable[[str], ledger.Emit] = lambda name: lambda rows, batch_id: show(rows),
+    emit: Callable[[str], ledger.Emit] | None = None,
     **run,
 ) -> list[StreamingQuery]:
-    """Keep both counts of the stream ``obs`` exactly, and give each trigger's changed rows to ``emit`` of the result.
+    """Keep both counts of the stream ``obs`` exactly.
 
-    The tables lie in ``table`` under the checkpoint of each result; see ``ledger.read_counts``.
+    Each trigger's changed rows are printed, or given to ``emit`` of the result's name. The tables lie in ``table`` under the checkpoint of each result; see ``ledger.read_counts``.
     """
     use_stream_settings(spark)
+    emit = emit or (lambda level: lambda rows, batch_id: show(rows, settings.printed))
     keyed = rekeyed(obs, settings)
     # Devices count in the order of their own partition, re-keyed records in that of arrival.
     levels = (("ep", obs, "part", None), ("ep-path", keyed, "rpart", arrival_of(obs)))
@@ -67,6 +68,7 @@ def start_exact(
 
 def start(spark: SparkSession, settings: CountSettings) -> list[StreamingQuery]:
     """Print the counts as they change, each result by a query with its own checkpoint."""
+    settings = with_properties(spark, settings)
     if settings.exact:
         return start_exact(spark, observations(spark, settings), settings, cadence=settings.cadence)
     use_stream_settings(spark)
@@ -75,6 +77,7 @@ def start(spark: SparkSession, settings: CountSettings) -> list[StreamingQuery]:
             counted,
             f"{settings.name}-{name}",
             job_checkpoint(spark, settings.checkpoint, f"{settings.name}-{name}"),
+            settings.printed,
             cadence=settings.cadence,
         )
         for name, counted in results(observations(spark, settings), settings).items()

@@ -1,9 +1,13 @@
 """The observation stream the two jobs start from."""
 
+from dataclasses import replace
+from typing import TypeVar
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from telewin.operators.records import rekey_by_resource, valid_records, with_rekeyed_partition
 from telewin.settings import JobSettings
+from telewin.sources.options import properties_file
 from telewin.sources.payloads import (
     OPEN_RESPONSE,
     from_framed_avro,
@@ -16,6 +20,17 @@ from telewin.sources.payloads import (
 from telewin.sources.topics import ARRIVED, observations_from, read_topic
 
 
+Settings = TypeVar("Settings", bound=JobSettings)
+
+
+def with_properties(spark: SparkSession, settings: Settings) -> Settings:
+    """``settings`` with the client properties of their file among the options."""
+    if settings.properties is None:
+        return settings
+    found = properties_file(spark, settings.properties)
+    return replace(settings, options={**found, **settings.options}, properties=None)
+
+
 def decoded(records: DataFrame, settings: JobSettings) -> DataFrame:
     """Topic rows as observations, by the payload format the settings name."""
     key, value = F.col("key"), F.col("value")

@@ -7,7 +7,7 @@ from telewin.operators.maxima import max_by_window
 from telewin.operators.records import mark_max, rekey_by_resource
 from telewin.operators.updates import max_updates
 from telewin.operators.windows import END, HALF_MINUTE_MS, START
-from telewin.plans.source import arrival_of, observations, rekeyed
+from telewin.plans.source import arrival_of, observations, rekeyed, with_properties
 from telewin.settings import MaxSettings
 from telewin.sources.payloads import avro_response, to_framed_avro
 from telewin.streaming import ledger
@@ -100,6 +100,7 @@ def start(spark: SparkSession, settings: MaxSettings) -> StreamingQuery:
     """
     if settings.output_partitions is None:
         raise ValueError("set output_partitions to the number of partitions of the output topic")
+    settings = with_properties(spark, settings)
     if settings.exact:
 
         def emit(rows: DataFrame, batch_id: int) -> None:

@@ -4,7 +4,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from telewin.operators.windows import HALF_MINUTE_MS, MINUTE_MS
-from telewin.streaming.run import CADENCE
+from telewin.streaming.run import CADENCE, PRINTED
 
 
 @dataclass(frozen=True)
@@ -25,6 +25,8 @@ class JobSettings:
     value_fields: str | None = None
     # Connector and client properties laid over the built-in ones.
     options: Mapping[str, str] = field(default_factory=dict)
+    # A Java properties file with more of them, which need not exist; ``options`` win over it.
+    properties: str | None = None
     cadence: str = CADENCE
     on_bad: str = "drop"
     # Late records and NaN readings exactly as in a replay of the topic, in a table under the checkpoint.
@@ -41,6 +43,8 @@ class JobSettings:
 class CountSettings(JobSettings):
     name: str = "device-counts"
     window_ms: int = MINUTE_MS
+    # Rows of a trigger that are printed.
+    printed: int = PRINTED
     # Count both levels in one query, or each in a query that reads the topic itself.
     one_read: bool = True
 

@@ -2,6 +2,7 @@
 
 from collections.abc import Mapping
 
+from pyspark.sql import SparkSession
 
 # The connector's own options; every other property is the client's.
 CONNECTOR = frozenset(
@@ -22,6 +23,20 @@ def client_option(name: str) -> str:
     return name if own else f"kafka.{name}"
 
 
+def properties_file(spark: SparkSession, path: str) -> dict[str, str]:
+    """The client properties in a Java properties file, which may lie in any store Spark reaches; none if there is no file."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = file.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(file):
+        return {}
+    properties, data = spark._jvm.java.util.Properties(), files.open(file)
+    try:
+        properties.load(data)
+    finally:
+        data.close()
+    return {name: properties.getProperty(name) for name in properties.stringPropertyNames()}
+
+
 def overlay(defaults: Mapping[str, str], user: Mapping[str, str] | None = None) -> dict[str, str]:
     """``defaults`` with the caller's properties on top; no properties is fine."""
     merged = dict(defaults)

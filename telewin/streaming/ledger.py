@@ -10,11 +10,12 @@ in offset order, as a topic does.
 Layout under ``path``, one folder per trigger: ``partials`` and ``reached``, the stream times
 after it, from which its successor's late flags start.
 
-Every so many triggers the partials are merged: windows that no partition seen so far can still
-reach go to ``closed``, the others to ``base``, and a mark in ``merged`` says that both are
-whole. What a merge replaced is kept until the next one, for those who are reading it, and
-then removed. So a trigger reads a day of windows and a bounded number of partials, however long the
-job has run. Closed windows are still found where a partition that starts late brings records for them.
+Every so many triggers the partials are merged: windows whose grace is over for the partition that
+is furthest go to ``closed``, the others to ``base``. A mark in ``merged`` then says that both are
+whole, and which window starts were closed. What a merge replaced is kept until the next one, for those who
+are reading it, and then removed. So a trigger reads a day of windows and a bounded number of partials,
+however long the job has run and even if a partition stands still. A partition that lags or starts
+late may bring records for closed windows: those rows are found by the marks and combined like any.
 """
 
 from collections.abc import Callable, Sequence
@@ -30,7 +31,15 @@ from telewin.operators.late import closed, drop_late, stream_times
 from telewin.operators.maxima import fold_by_window
 from telewin.operators.windows import START, grace_ms, window_bounds
 from telewin.streaming.run import to_batches
-from telewin.streaming.tables import batch_path, batches_in, mark, read_batches, remove, write_batch
+from telewin.streaming.tables import (
+    batch_path,
+    batches_in,
+    mark,
+    names_in,
+    read_batches,
+    remove,
+    write_batch,
+)
 from telewin.workspace import stage
 
 GROUP: Sequence[str] = ("key", START)
@@ -85,24 +94,41 @@ MAXIMA = Kind(
 )
 
 
-def last_merge(spark: SparkSession, path: str) -> int:
-    """The last trigger that the merged part of the table includes; -1 for none."""
-    return max(batches_in(spark, f"{path}/merged"), default=-1)
+class Range(NamedTuple):
+    """Window starts, both ends included."""
+
+    low: int
+    high: int
+
 
+def merges(spark: SparkSession, path: str) -> dict[int, Range | None]:
+    """The triggers after which there was a merge, with the window starts it closed."""
+    out = {}
+    for name in names_in(spark, f"{path}/merged"):
+        batch_id, *ends = map(int, name.removeprefix(f"{BATCH}=").split("-"))
+        out[batch_id] = Range(*ends) if ends else None
+    return out
 
-def read_rows(spark: SparkSession, path: str) -> DataFrame:
-    """The kept rows of all triggers, each with the trigger it counts from."""
-    merged = batches_in(spark, f"{path}/merged")
+
+def read_rows(spark: SparkSession, path: str, wanted: Range | None = None) -> DataFrame:
+    """The kept rows of all triggers, each with the trigger it counts from.
+
+    With ``wanted``, only those of windows that start there; files of other closed windows are not looked at.
+    """
+    merged = merges(spark, path)
     base = max(merged, default=-1)
     later = [b for b in batches_in(spark, f"{path}/partials") if b > base]
-    parts = [("partials", later), ("base", [base] if merged else []), ("closed", merged)]
+    closed_in = [
+        b for b, r in merged.items() if r and (wanted is None or (r.low <= wanted.high and wanted.low <= r.high))
+    ]
+    parts = [("partials", later), ("base", [base] if merged else []), ("closed", closed_in)]
     read = [read_batches(spark, f"{path}/{name}", ids) for name, ids in parts if ids]
     if not read:
         raise ValueError(f"no trigger has written to {path} yet")
     whole = read[0]
     for more in read[1:]:
         whole = whole.unionByName(more)
-    return whole
+    return whole if wanted is None else whole.where(F.col(START).between(*wanted))
 
 
 def read_table(spark: SparkSession, path: str, size_ms: int, kind: Kind) -> DataFrame:
@@ -112,15 +138,15 @@ def read_table(spark: SparkSession, path: str, size_ms: int, kind: Kind) -> Data
 def changed(spark: SparkSession, path: str, batch_id: int, size_ms: int, kind: Kind) -> DataFrame:
     """The table's rows for the windows that trigger ``batch_id`` touched: its update stream.
 
-    Rows of other times are not read: the bounds of the touched windows reach the files.
+    Rows of windows before and after all of these are not read.
     """
     touched = stage(
         read_batches(spark, f"{path}/partials", [batch_id]).select(*GROUP).distinct(),
         batch_path(f"{path}/work", batch_id) + "/touched",
     )
     low, high = touched.rows.agg(F.min(START), F.max(START)).first()
-    rows = read_rows(spark, path).where(F.col(START).between(F.lit(low), F.lit(high)))
-    mine = rows.join(touched.sized(), [*GROUP], "left_semi")
+    wanted = Range(0, -1) if low is None else Range(low, high)
+    mine = read_rows(spark, path, wanted).join(touched.sized(), [*GROUP], "left_semi")
     return kind.shown(kind.combine(mine), size_ms)
 
 
@@ -130,7 +156,7 @@ def merge(spark: SparkSession, path: str, batch_id: int, size_ms: int, kind: Kin
     Running it again, after a failure at any point or with the trigger, changes nothing: rows
     count once their mark is there, and a mark is set once.
     """
-    merged = batches_in(spark, f"{path}/merged")
+    merged = merges(spark, path)
     if batch_id in merged:
         return
     base = max(merged, default=-1)
@@ -140,22 +166,26 @@ def merge(spark: SparkSession, path: str, batch_id: int, size_ms: int, kind: Kin
         rows = rows.unionByName(read_batches(spark, f"{path}/base", [base]))
     whole = kind.combine(rows)
     reached = spark.read.parquet(batch_path(f"{path}/reached", batch_id))
-    least = reached.agg(F.min("reached")).first()[0]
-    over = F.lit(False) if least is None else closed(F.col(START) + size_ms, F.lit(least), grace_ms(size_ms))
-    # Worked out once for both writes.
-    held = whole.withColumn("over", over).persist()
+    furthest = reached.agg(F.max("reached")).first()[0]
+    over = closed(F.col(START) + size_ms, F.lit(furthest), grace_ms(size_ms))
+    # Worked out once for what follows.
+    held = whole.withColumn("over", F.coalesce(over, F.lit(False))).persist()
     try:
-        for name, which in (("closed", F.col("over")), ("base", ~F.col("over"))):
-            target = batch_path(f"{path}/{name}", batch_id)
-            held.where(which).drop("over").write.mode("overwrite").parquet(target)
+        held.where(~F.col("over")).drop("over").write.mode("overwrite").parquet(batch_path(f"{path}/base", batch_id))
+        old = held.where("over").drop("over")
+        ends = old.agg(F.min(START), F.max(START)).first()
+        name = batch_path(f"{path}/merged", batch_id)
+        if ends[0] is not None:
+            old.write.mode("overwrite").parquet(batch_path(f"{path}/closed", batch_id))
+            name = f"{name}-{ends[0]}-{ends[1]}"
     finally:
         held.unpersist()
-    mark(spark, batch_path(f"{path}/merged", batch_id))
+    mark(spark, name)
     for name in ("partials", "base", "reached"):
         # Of the generation that this merge replaced, all is kept until the next merge.
-        old = [b for b in batches_in(spark, f"{path}/{name}") if b < base or (name == "partials" and b == base)]
-        for b in old:
-            remove(spark, batch_path(f"{path}/{name}", b))
+        for b in batches_in(spark, f"{path}/{name}"):
+            if b < base or (name == "partials" and b == base):
+                remove(spark, batch_path(f"{path}/{name}", b))
 
 
 def _each(

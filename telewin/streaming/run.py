@@ -45,15 +45,20 @@ def writer(
     return out.trigger(availableNow=True) if available_now else out.trigger(processingTime=cadence)
 
 
-def to_console(df: DataFrame, name: str, checkpoint: str, **run) -> StreamingQuery:
-    """Print the updates of each trigger."""
-    out = writer(df, name, checkpoint, **run)
-    return out.format("console").option("truncate", False).start()
+# Rows of a trigger that are printed; they pass through the driver.
+PRINTED = 1000
 
 
-def show(rows: DataFrame) -> None:
+def to_console(df: DataFrame, name: str, checkpoint: str, printed: int = PRINTED, **run) -> StreamingQuery:
+    """Print the updates of each trigger, up to ``printed`` rows."""
+    out = writer(df, name, checkpoint, **run).format("console")
+    return out.option("truncate", False).option("numRows", printed).start()
+
+
+def show(rows: DataFrame, printed: int = PRINTED) -> None:
     """Print a batch of updates the way the console sink does."""
-    rows.write.format("console").option("truncate", False).mode("append").save()
+    out = rows.write.format("console").option("truncate", False).option("numRows", printed)
+    out.mode("append").save()
 
 
 def finish(query: StreamingQuery, seconds: int = 600) -> None:

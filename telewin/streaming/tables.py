@@ -20,11 +20,16 @@ def _folder(spark: SparkSession, path: str):
     return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def batches_in(spark: SparkSession, path: str) -> list[int]:
-    """The triggers that have a folder under ``path``, ascending."""
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """The folders of triggers under ``path``."""
     folder, files = _folder(spark, path)
     names = [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
-    return sorted(int(n.removeprefix(f"{BATCH}=")) for n in names if n.startswith(f"{BATCH}="))
+    return [n for n in names if n.startswith(f"{BATCH}=")]
+
+
+def batches_in(spark: SparkSession, path: str) -> list[int]:
+    """The triggers that have a folder under ``path``, ascending."""
+    return sorted(int(n.removeprefix(f"{BATCH}=")) for n in names_in(spark, path))
 
 
 def read_batches(spark: SparkSession, path: str, ids: Sequence[int]) -> DataFrame:

@@ -35,14 +35,20 @@ def test_merging_keeps_the_table_and_bounds_the_folders(spark, tmp_path):
     rows, path = late_rows(41, 400), f"{tmp_path}/t"
     for batch_id, piece in enumerate(in_pieces(rows, 9)):
         trigger(spark, path, batch_id, piece, merge_every=2)
-    assert batches_in(spark, f"{path}/merged") == [1, 3, 5, 7]
+    merged = ledger.merges(spark, path)
+    assert sorted(merged) == [1, 3, 5, 7]
     assert batches_in(spark, f"{path}/partials") == [6, 7, 8]
     assert batches_in(spark, f"{path}/base") == [5, 7]
     assert batches_in(spark, f"{path}/reached") == [5, 6, 7, 8]
     assert batches_in(spark, f"{path}/work") == []
-    # Records span more than a day: some windows are over and no longer read by a merge.
-    over = spark.read.parquet(f"{path}/closed").count()
-    assert 0 < over and spark.read.parquet(f"{path}/base/batch_id=7").count() > 0
+    # Records span more than a day: some windows are closed and no longer read by a merge.
+    assert spark.read.parquet(f"{path}/base/batch_id=7").count() > 0
+    assert batches_in(spark, f"{path}/closed") == sorted(b for b, r in merged.items() if r)
+    for batch_id, (low, high) in ((b, r) for b, r in merged.items() if r):
+        starts = {r[START] for r in spark.read.parquet(f"{path}/closed/batch_id={batch_id}").collect()}
+        assert (min(starts), max(starts)) == (low, high)
+    early = ledger.read_rows(spark, path, ledger.Range(BASE_MS, BASE_MS)).inputFiles()
+    assert not any("/closed/" in f for f in early)
     want = pairs(count_by_window(valid(spark, kept_rows(rows))), *COUNT)
     assert pairs(ledger.read_counts(spark, path, MINUTE_MS), *COUNT) == want
 
@@ -77,7 +83,7 @@ def test_a_partition_that_starts_late_still_reaches_closed_windows(spark, tmp_pa
     path = f"{tmp_path}/t"
     for batch_id, piece in enumerate((old, new, other, new[:0])):
         trigger(spark, path, batch_id, piece, merge_every=1)
-    assert spark.read.parquet(f"{path}/closed").count() > 0
+    assert set(ledger.merges(spark, path).values()) == {None, (BASE_MS, BASE_MS)}
     got = ledger.read_counts(spark, path, MINUTE_MS)
     assert pairs(got, START, "n") == {(BASE_MS, 8), (BASE_MS + 3 * day, 5)}
 
@@ -139,7 +145,7 @@ def test_exact_count_job_prints_what_a_replay_counts(spark, tmp_path):
         assert pairs(latest(updates), *COUNT) == pairs(want, *COUNT)
         table = f"{tmp_path}/cp/{settings.name}-{level}/table"
         assert pairs(ledger.read_counts(spark, table, MINUTE_MS), *COUNT) == pairs(want, *COUNT)
-        assert batches_in(spark, f"{table}/merged")
+        assert ledger.merges(spark, table)
 
 
 def test_exact_max_job_publishes_what_a_replay_keeps(spark, tmp_path):

@@ -9,9 +9,9 @@ from telewin.operators.compaction import latest
 from telewin.operators.records import valid_records
 from telewin.operators.windows import END, HALF_MINUTE_MS, MINUTE_MS, START
 from telewin.plans import device_counts, window_max
-from telewin.plans.source import decoded
+from telewin.plans.source import decoded, with_properties
 from telewin.settings import CountSettings, MaxSettings
-from telewin.sources.options import overlay
+from telewin.sources.options import overlay, properties_file
 from telewin.sources.payloads import to_json_key, to_json_response
 from telewin.sources.topics import read_topic, topic_options
 from telewin.streaming.run import finish
@@ -144,6 +144,20 @@ def test_defaults():
     assert count.name != best.name
 
 
+def test_a_properties_file_is_read_like_java_reads_it(spark, tmp_path):
+    path = tmp_path / "client.properties"
+    path.write_text("# comment\nsecurity.protocol = SSL\nssl.key.password:a\\\n  b=c\nplain\nname=\\u00e9\n", "latin-1")
+    found = properties_file(spark, str(path))
+    assert found == {"security.protocol": "SSL", "ssl.key.password": "ab=c", "plain": "", "name": "\u00e9"}
+    assert properties_file(spark, f"file://{tmp_path}/none.properties") == {}
+    settings = MaxSettings(properties=str(path), options={"plain": "mine", "topic": "t"})
+    whole = with_properties(spark, settings)
+    assert whole.options == {**found, "plain": "mine", "topic": "t"} and whole.properties is None
+    assert with_properties(spark, MaxSettings()) == MaxSettings()
+    options = topic_options("b:1", "in", whole.options)
+    assert options["kafka.security.protocol"] == "SSL" and options["kafka.plain"] == "mine"
+
+
 def test_overlay_wins_and_may_be_absent():
     assert topic_options("b:1", "t") == {
         "kafka.bootstrap.servers": "b:1",
