@@ -185,10 +185,12 @@ def linked(docs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
     reps = written(chosen.select(F.col("doc_id").alias("rep"), "n", "band", "words", "above", "fold"), "reps")
     bands = _in_bands(reps)
     # What is called a band in ``linking`` is a bucket here: one word of the sketches of a band.
-    keys = bands.select("rep", "n", "in_band", F.posexplode("words").alias("at", "word"))
-    keys = keys.select(F.xxhash64("in_band", "at", "word").alias("band"), "rep", "n", "in_band")
+    keys = bands.select("rep", "in_band", F.posexplode("words").alias("at", "word"))
+    keys = keys.select(F.xxhash64("in_band", "at", "word").alias("band"), "rep")
     shared = keys.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("band")
-    members = written(keys.join(shared, "band", "left_semi"), "members")
+    # Only what is left of the keys gets the sizes and the own bands of its documents.
+    sizes = reps.select("rep", "n", F.col("band").alias("in_band"))
+    members = written(keys.join(shared, "band", "left_semi").join(sizes, "rep"), "members")
     comps = spark.createDataFrame([], "rep long, root long")
     tested = spark.createDataFrame([], "u long, v long")
     for turn, stars in enumerate((*linking.STARS, None)):
@@ -196,12 +198,14 @@ def linked(docs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
         if live.isEmpty():
             break
         if stars:
-            centers = written(linking.centers_of(live, stars, turn, ["n"]), "centers")
+            centers = written(linking.centers_of(live, stars, turn, ["n", "in_band"]), "centers")
             members = live.drop("root").join(centers.select("band", F.col("center").alias("rep")), ["band", "rep"], "left_anti")
             sizes = F.least("n", "center_n") * 100 >= F.greatest("n", "center_n") * percent
             met = live.join(centers, "band").where(sizes & (F.col("root") != F.col("center_root")))
-            met = met.select(F.least("rep", "center").alias("u"), F.greatest("rep", "center").alias("v"), "in_band")
-            met = met.groupBy("u", "v").agg(F.min("in_band").alias("in_band")).join(tested, ["u", "v"], "left_anti")
+            # Documents that meet have sketches in the greater of their own bands.
+            both = F.greatest("in_band", "center_in_band").alias("in_band")
+            met = met.select(F.least("rep", "center").alias("u"), F.greatest("rep", "center").alias("v"), both)
+            met = met.distinct().join(tested, ["u", "v"], "left_anti")
             pairs = _may_link(met, bands, percent)
         else:
             dealt = linking.cells(live).join(reps.select("rep", "n", "fold"), "rep").repartition("band", "block", "slice")
