@@ -370,6 +370,7 @@ def compacted(
             f"{base}/table",
             base.rsplit("/", 1)[1],
             f"{base}/checkpoint",
+            merge_every=2,
             available_now=True,
         )
 

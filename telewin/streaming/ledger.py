@@ -10,10 +10,8 @@ in offset order, as a topic does.
 Layout under ``path``, one folder per trigger: ``partials`` and ``reached``, the stream times
 after it, from which its successor's late flags start.
 
-Every so many triggers the partials are merged: windows whose grace is over for the partition that
-is furthest go to ``closed``, the others to ``base``. A mark in ``merged`` then says that both are
-whole, and which window starts were closed. What a merge replaced is kept until the next one, for those who
-are reading it, and then removed. So a trigger reads a day of windows and a bounded number of partials,
+Every so many triggers the partials are merged (see ``merged``); windows are over once their grace is,
+for the partition that is furthest. So a trigger reads a day of windows and a bounded number of partials,
 however long the job has run and even if a partition stands still. A partition that lags or starts
 late may bring records for closed windows: those rows are found by the marks and combined like any.
 """
@@ -30,19 +28,14 @@ from telewin.operators.counts import count_by_window
 from telewin.operators.late import closed, drop_late, stream_times
 from telewin.operators.maxima import fold_by_window
 from telewin.operators.windows import START, grace_ms, window_bounds
+from telewin.streaming import merged
+from telewin.streaming.merged import Layout, Range, batch_path, batches_in, read_batches, remove
 from telewin.streaming.run import to_batches
-from telewin.streaming.tables import (
-    batch_path,
-    batches_in,
-    mark,
-    names_in,
-    read_batches,
-    remove,
-    write_batch,
-)
+from telewin.streaming.tables import write_batch
 from telewin.workspace import stage
 
 GROUP: Sequence[str] = ("key", START)
+LAYOUT = Layout("partials", "base", "closed", "merged")
 #: Triggers between merges: an hour at the usual cadence.
 MERGE_EVERY = 360
 
@@ -94,41 +87,9 @@ MAXIMA = Kind(
 )
 
 
-class Range(NamedTuple):
-    """Window starts, both ends included."""
-
-    low: int
-    high: int
-
-
-def merges(spark: SparkSession, path: str) -> dict[int, Range | None]:
-    """The triggers after which there was a merge, with the window starts it closed."""
-    out = {}
-    for name in names_in(spark, f"{path}/merged"):
-        batch_id, *ends = map(int, name.removeprefix(f"{BATCH}=").split("-"))
-        out[batch_id] = Range(*ends) if ends else None
-    return out
-
-
 def read_rows(spark: SparkSession, path: str, wanted: Range | None = None) -> DataFrame:
-    """The kept rows of all triggers, each with the trigger it counts from.
-
-    With ``wanted``, only those of windows that start there; files of other closed windows are not looked at.
-    """
-    merged = merges(spark, path)
-    base = max(merged, default=-1)
-    later = [b for b in batches_in(spark, f"{path}/partials") if b > base]
-    closed_in = [
-        b for b, r in merged.items() if r and (wanted is None or (r.low <= wanted.high and wanted.low <= r.high))
-    ]
-    parts = [("partials", later), ("base", [base] if merged else []), ("closed", closed_in)]
-    read = [read_batches(spark, f"{path}/{name}", ids) for name, ids in parts if ids]
-    if not read:
-        raise ValueError(f"no trigger has written to {path} yet")
-    whole = read[0]
-    for more in read[1:]:
-        whole = whole.unionByName(more)
-    return whole if wanted is None else whole.where(F.col(START).between(*wanted))
+    """The kept rows of all triggers, each with the trigger it counts from; see ``merged.read_rows``."""
+    return merged.read_rows(spark, path, LAYOUT, wanted)
 
 
 def read_table(spark: SparkSession, path: str, size_ms: int, kind: Kind) -> DataFrame:
@@ -151,41 +112,16 @@ def changed(spark: SparkSession, path: str, batch_id: int, size_ms: int, kind: K
 
 
 def merge(spark: SparkSession, path: str, batch_id: int, size_ms: int, kind: Kind) -> None:
-    """Bring everything up to trigger ``batch_id`` together.
-
-    Running it again, after a failure at any point or with the trigger, changes nothing: rows
-    count once their mark is there, and a mark is set once.
-    """
-    merged = merges(spark, path)
-    if batch_id in merged:
-        return
-    base = max(merged, default=-1)
-    ids = [b for b in batches_in(spark, f"{path}/partials") if base < b <= batch_id]
-    rows = read_batches(spark, f"{path}/partials", ids)
-    if merged:
-        rows = rows.unionByName(read_batches(spark, f"{path}/base", [base]))
-    whole = kind.combine(rows)
+    """Bring everything up to trigger ``batch_id`` together."""
     reached = spark.read.parquet(batch_path(f"{path}/reached", batch_id))
-    furthest = reached.agg(F.max("reached")).first()[0]
-    over = closed(F.col(START) + size_ms, F.lit(furthest), grace_ms(size_ms))
-    # Worked out once for what follows.
-    held = whole.withColumn("over", F.coalesce(over, F.lit(False))).persist()
-    try:
-        held.where(~F.col("over")).drop("over").write.mode("overwrite").parquet(batch_path(f"{path}/base", batch_id))
-        old = held.where("over").drop("over")
-        ends = old.agg(F.min(START), F.max(START)).first()
-        name = batch_path(f"{path}/merged", batch_id)
-        if ends[0] is not None:
-            old.write.mode("overwrite").parquet(batch_path(f"{path}/closed", batch_id))
-            name = f"{name}-{ends[0]}-{ends[1]}"
-    finally:
-        held.unpersist()
-    mark(spark, name)
-    for name in ("partials", "base", "reached"):
-        # Of the generation that this merge replaced, all is kept until the next merge.
-        for b in batches_in(spark, f"{path}/{name}"):
-            if b < base or (name == "partials" and b == base):
-                remove(spark, batch_path(f"{path}/{name}", b))
+    furthest = F.lit(reached.agg(F.max("reached")).first()[0])
+    ends = F.col(START) + size_ms
+    before = merged.merge(
+        spark, path, batch_id, LAYOUT, kind.combine, lambda rows: closed(ends, furthest, grace_ms(size_ms))
+    )
+    for b in batches_in(spark, f"{path}/reached"):
+        if b < before:
+            remove(spark, batch_path(f"{path}/reached", b))
 
 
 def _each(

@@ -2,50 +2,17 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
-from telewin.operators.compaction import BATCH, latest
+from telewin.operators.compaction import BATCH, TABLE_KEY, latest
+from telewin.operators.windows import END, RETENTION_MS
+from telewin.streaming import merged
+from telewin.streaming.merged import Layout, batch_path, batches_in
 from telewin.streaming.run import to_batches
 
-
-def batch_path(path: str, batch_id: int) -> str:
-    return f"{path}/{BATCH}={batch_id}"
-
-
-def _folder(spark: SparkSession, path: str):
-    """A Hadoop path and its file system: the store may be any that Spark reaches."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def names_in(spark: SparkSession, path: str) -> list[str]:
-    """The folders of triggers under ``path``."""
-    folder, files = _folder(spark, path)
-    names = [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
-    return [n for n in names if n.startswith(f"{BATCH}=")]
-
-
-def batches_in(spark: SparkSession, path: str) -> list[int]:
-    """The triggers that have a folder under ``path``, ascending."""
-    return sorted(int(n.removeprefix(f"{BATCH}=")) for n in names_in(spark, path))
-
-
-def read_batches(spark: SparkSession, path: str, ids: Sequence[int]) -> DataFrame:
-    """The rows that these triggers wrote, with the trigger each came from; other folders are not listed."""
-    rows = spark.read.option("basePath", path).parquet(*[batch_path(path, i) for i in ids])
-    return rows.withColumn(BATCH, F.col(BATCH).cast("bigint"))
-
-
-def mark(spark: SparkSession, path: str) -> None:
-    folder, files = _folder(spark, path)
-    files.mkdirs(folder)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    folder, files = _folder(spark, path)
-    files.delete(folder, True)
+LAYOUT = Layout("", "_base", "_closed", "_merged")
 
 
 def write_batch(batch: DataFrame, path: str, batch_id: int) -> None:
@@ -60,27 +27,50 @@ def write_batch(batch: DataFrame, path: str, batch_id: int) -> None:
     batch.write.mode("overwrite").parquet(batch_path(path, batch_id))
 
 
+def merge_updates(spark: SparkSession, path: str, batch_id: int, by: Sequence[str] = TABLE_KEY) -> None:
+    """Keep only the last update of each row of the table up to a trigger.
+
+    Windows that end a day before the furthest one are closed: later updates of theirs still count.
+    """
+
+    def over(rows: DataFrame) -> Column:
+        if END not in rows.columns:
+            return F.lit(False)
+        return F.col(END) <= F.lit(rows.agg(F.max(END)).first()[0]) - RETENTION_MS
+
+    merged.merge(spark, path, batch_id, LAYOUT, lambda rows: latest(rows, by), over)
+
+
 def to_table(
-    df: DataFrame, path: str, name: str, checkpoint: str, **run
+    df: DataFrame,
+    path: str,
+    name: str,
+    checkpoint: str,
+    merge_every: int | None = None,
+    by: Sequence[str] = TABLE_KEY,
+    **run,
 ) -> StreamingQuery:
-    """Append every trigger's updates to the table at ``path``."""
-    return to_batches(
-        df, lambda batch, batch_id: write_batch(batch, path, batch_id), name, checkpoint, **run
-    )
+    """Append every trigger's updates to the table at ``path``.
+
+    Every ``merge_every`` triggers the updates are merged; without it all of them are kept.
+    """
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        write_batch(batch, path, batch_id)
+        if merge_every and (batch_id + 1) % merge_every == 0:
+            merge_updates(batch.sparkSession, path, batch_id, by)
+
+    return to_batches(df, each, name, checkpoint, **run)
 
 
 def read_updates(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
-    """All updates, with the trigger each came from.
+    """All updates, with the trigger each came from; of merged ones the last, with the trigger of the merge.
 
     With the ``schema`` of the rows, a table that no trigger has written yet is empty.
     """
-    if schema is None:
-        return spark.read.parquet(path).withColumn(BATCH, F.col(BATCH).cast("bigint"))
-    whole = StructType([*schema.fields, StructField(BATCH, LongType())])
-    folder, files = _folder(spark, path)
-    if not files.exists(folder):
-        return spark.createDataFrame([], whole)
-    return spark.read.schema(whole).parquet(path)
+    if schema is not None and not batches_in(spark, path):
+        return spark.createDataFrame([], StructType([*schema.fields, StructField(BATCH, LongType())]))
+    return merged.read_rows(spark, path, LAYOUT)
 
 
 def read_latest(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:

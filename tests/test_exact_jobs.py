@@ -14,9 +14,10 @@ from telewin.operators.windows import END, HALF_MINUTE_MS, MINUTE_MS, START, gra
 from telewin.plans import device_counts, window_max
 from telewin.plans.source import rekeyed
 from telewin.settings import CountSettings, MaxSettings
-from telewin.streaming import ledger
+from telewin.streaming import ledger, merged, tables
+from telewin.streaming.merged import Range, batches_in, merges
 from telewin.streaming.run import finish
-from telewin.streaming.tables import batches_in, read_updates, write_batch
+from telewin.streaming.tables import merge_updates, read_latest, read_updates, to_table, write_batch
 from telewin.streaming.topics import read_topic_rows
 from test_streaming import COUNT, in_pieces, late_rows
 
@@ -35,7 +36,7 @@ def test_merging_keeps_the_table_and_bounds_the_folders(spark, tmp_path):
     rows, path = late_rows(41, 400), f"{tmp_path}/t"
     for batch_id, piece in enumerate(in_pieces(rows, 9)):
         trigger(spark, path, batch_id, piece, merge_every=2)
-    merged = ledger.merges(spark, path)
+    merged = merges(spark, path, ledger.LAYOUT)
     assert sorted(merged) == [1, 3, 5, 7]
     assert batches_in(spark, f"{path}/partials") == [6, 7, 8]
     assert batches_in(spark, f"{path}/base") == [5, 7]
@@ -47,13 +48,13 @@ def test_merging_keeps_the_table_and_bounds_the_folders(spark, tmp_path):
     for batch_id, (low, high) in ((b, r) for b, r in merged.items() if r):
         starts = {r[START] for r in spark.read.parquet(f"{path}/closed/batch_id={batch_id}").collect()}
         assert (min(starts), max(starts)) == (low, high)
-    early = ledger.read_rows(spark, path, ledger.Range(BASE_MS, BASE_MS)).inputFiles()
+    early = ledger.read_rows(spark, path, Range(BASE_MS, BASE_MS)).inputFiles()
     assert not any("/closed/" in f for f in early)
     want = pairs(count_by_window(valid(spark, kept_rows(rows))), *COUNT)
     assert pairs(ledger.read_counts(spark, path, MINUTE_MS), *COUNT) == want
 
 
-@pytest.mark.parametrize("broken", ["mark", "remove", "write"])
+@pytest.mark.parametrize("broken", ["mark", "remove", "merge"])
 def test_a_failed_merge_can_run_again(spark, tmp_path, monkeypatch, broken):
     """Wherever a merge stops, the trigger that runs again leaves the same table."""
     rows, path = late_rows(42, 200), f"{tmp_path}/t"
@@ -64,9 +65,8 @@ def test_a_failed_merge_can_run_again(spark, tmp_path, monkeypatch, broken):
     for batch_id, piece in enumerate(in_pieces(rows, 6)):
         if batch_id in (1, 3):
             with monkeypatch.context() as patch, pytest.raises(OSError, match="lost"):
-                if broken == "write":
-                    patch.setattr(ledger, "merge", fail)
-                else:
+                patch.setattr(merged, broken, fail)
+                if broken == "remove":
                     patch.setattr(ledger, broken, fail)
                 trigger(spark, path, batch_id, piece, merge_every=2)
         for _ in range(2):
@@ -83,7 +83,7 @@ def test_a_partition_that_starts_late_still_reaches_closed_windows(spark, tmp_pa
     path = f"{tmp_path}/t"
     for batch_id, piece in enumerate((old, new, other, new[:0])):
         trigger(spark, path, batch_id, piece, merge_every=1)
-    assert set(ledger.merges(spark, path).values()) == {None, (BASE_MS, BASE_MS)}
+    assert set(merges(spark, path, ledger.LAYOUT).values()) == {None, (BASE_MS, BASE_MS)}
     got = ledger.read_counts(spark, path, MINUTE_MS)
     assert pairs(got, START, "n") == {(BASE_MS, 8), (BASE_MS + 3 * day, 5)}
 
@@ -111,6 +111,40 @@ def test_changes_are_the_windows_a_trigger_touched(spark, tmp_path):
         assert seen[-1] == {w: best[w] for w in touched}
 
 
+def test_update_tables_are_merged(spark, tmp_path):
+    """Two days of windows in six triggers: the last update of each stays, the files don't pile up."""
+    path, size = f"{tmp_path}/t", 60
+    rows = [observation(i, BASE_MS + (i // 2) * 24 * MINUTE_MS, ep=f"d{i % 3}", lng=1) for i in range(6 * size)]
+    seen = []
+    for batch_id in range(6):
+        seen += rows[batch_id * size : (batch_id + 1) * size]
+        # Every trigger repeats what the last one touched, with higher counts.
+        touched = valid(spark, seen[-2 * size :])
+        write_batch(count_by_window(touched), path, batch_id)
+        if batch_id % 2:
+            for _ in range(2):
+                merge_updates(spark, path, batch_id)
+    assert batches_in(spark, path) == [4, 5]
+    assert batches_in(spark, f"{path}/_base") == [3, 5]
+    found = merges(spark, path, tables.LAYOUT)
+    assert sorted(found) == [1, 3, 5] and any(found.values())
+    want = pairs(count_by_window(valid(spark, rows)), *COUNT)
+    assert pairs(read_latest(spark, path), *COUNT) == want
+
+
+def test_a_stream_merges_its_update_table(spark, tmp_path):
+    rows = random_observations(47, n=300)
+    obs = log_stream(spark, f"{tmp_path}/log", rows)
+    path = f"{tmp_path}/t"
+    query = to_table(
+        device_counts.per_device(obs), path, "merged", f"{tmp_path}/cp", merge_every=2, available_now=True
+    )
+    finish(query, 200)
+    assert sorted(merges(spark, path, tables.LAYOUT)) == [1, 3]
+    assert batches_in(spark, path) == [2, 3, 4]
+    assert pairs(read_latest(spark, path), *COUNT) == pairs(count_by_window(valid(spark, rows)), *COUNT)
+
+
 def test_reading_before_any_trigger_says_so(spark, tmp_path):
     with pytest.raises(ValueError, match="no trigger"):
         ledger.read_rows(spark, f"{tmp_path}/t")
@@ -145,7 +179,7 @@ def test_exact_count_job_prints_what_a_replay_counts(spark, tmp_path):
         assert pairs(latest(updates), *COUNT) == pairs(want, *COUNT)
         table = f"{tmp_path}/cp/{settings.name}-{level}/table"
         assert pairs(ledger.read_counts(spark, table, MINUTE_MS), *COUNT) == pairs(want, *COUNT)
-        assert ledger.merges(spark, table)
+        assert merges(spark, table, ledger.LAYOUT)
 
 
 def test_exact_max_job_publishes_what_a_replay_keeps(spark, tmp_path):
