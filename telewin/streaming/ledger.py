@@ -27,6 +27,7 @@ from telewin.operators.compaction import BATCH
 from telewin.operators.counts import count_by_window
 from telewin.operators.late import closed, drop_late, stream_times
 from telewin.operators.maxima import fold_by_window
+from telewin.operators.scan import CHUNK_OFFSETS
 from telewin.operators.windows import START, grace_ms, window_bounds
 from telewin.streaming import merged
 from telewin.streaming.merged import Layout, Range, batch_path, batches_in, read_batches, remove
@@ -124,6 +125,12 @@ def merge(spark: SparkSession, path: str, batch_id: int, size_ms: int, kind: Kin
             remove(spark, batch_path(f"{path}/reached", b))
 
 
+def _step(batch: DataFrame, arrived: str) -> int:
+    """Steps of the arrival column that hold about as many records as a chunk of offsets."""
+    n, first, last = batch.agg(F.count(F.lit(1)), F.min(arrived), F.max(arrived)).first()
+    return max(1, (last - first + 1) * CHUNK_OFFSETS // n) if n else 1
+
+
 def _each(
     batch: DataFrame,
     batch_id: int,
@@ -148,9 +155,8 @@ def _each(
                 now.unionByName(reached).withColumnRenamed("reached", "ts_ms"), part
             )
         write_batch(now, f"{path}/reached", batch_id)
-        kept = drop_late(
-            batch, size_ms, part=part, reached=reached, work=f"{work}/suspects", arrived=arrived
-        )
+        how = {"arrived": arrived, "chunk_offsets": _step(batch, arrived)} if arrived else {}
+        kept = drop_late(batch, size_ms, part=part, reached=reached, work=f"{work}/suspects", **how)
         write_batch(kind.reduce(kept, work, size_ms), f"{path}/partials", batch_id)
     finally:
         batch.unpersist()

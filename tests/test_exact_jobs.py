@@ -111,6 +111,32 @@ def test_changes_are_the_windows_a_trigger_touched(spark, tmp_path):
         assert seen[-1] == {w: best[w] for w in touched}
 
 
+def test_rekeyed_records_count_in_the_order_they_arrived(spark, tmp_path, monkeypatch):
+    """Two source partitions brought into one, the busier one far ahead in offsets; chunks of any size."""
+    day = 24 * 60 * MINUTE_MS
+    rows = [observation(i, BASE_MS + i * day // 100, ep="busy", part=0) for i in range(300)]
+    rows += [observation(i, BASE_MS + (i * 10 + 5) * day // 100, ep="calm", part=1) for i in range(30)]
+    # One record of the calm partition is two days behind when it arrives.
+    rows[320] = observation(20, BASE_MS + 5 * day // 100, ep="calm", part=1)
+    arrived = {(0, i): i * 10 for i in range(300)} | {(1, i): i * 100 + 55 for i in range(30)}
+    order = sorted(rows, key=lambda r: arrived[r.part, r.off])
+    reached, late = -1, []
+    for r in order:
+        reached = max(reached, r.value.timestamp)
+        if r.value.timestamp // MINUTE_MS * MINUTE_MS + MINUTE_MS <= reached - grace_ms(MINUTE_MS):
+            late.append(r)
+    assert [(r.part, r.off) for r in late] == [(1, 20)]
+    times = spark.createDataFrame([(p, o, t) for (p, o), t in arrived.items()], "part int, off long, arrived_ms long")
+    for chunk in (1, 7, 1 << 16):
+        monkeypatch.setattr(ledger, "CHUNK_OFFSETS", chunk)
+        path = f"{tmp_path}/{chunk}"
+        for batch_id, piece in enumerate(in_pieces(order, 3)):
+            batch = valid(spark, piece).join(times, ["part", "off"]).selectExpr("*", "0 as rpart")
+            ledger._each(batch, batch_id, path, MINUTE_MS, "rpart", ledger.COUNTS, arrived="arrived_ms")
+        want = pairs(count_by_window(valid(spark, [r for r in rows if r not in late])), *COUNT)
+        assert pairs(ledger.read_counts(spark, path, MINUTE_MS), *COUNT) == want
+
+
 def test_update_tables_are_merged(spark, tmp_path):
     """Two days of windows in six triggers: the last update of each stays, the files don't pile up."""
     path, size = f"{tmp_path}/t", 60
