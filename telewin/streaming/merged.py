@@ -116,6 +116,16 @@ def read_rows(spark: SparkSession, path: str, layout: Layout, wanted: Range | No
     return whole if wanted is None else whole.where(F.col(START).between(*wanted))
 
 
+def _by_start(rows: DataFrame) -> DataFrame:
+    """Rows sorted by window start over the files, so that a reader of a few windows skips the others.
+
+    The rows of one window may be many: they are cut by a hash of their key.
+    """
+    if START not in rows.columns:
+        return rows
+    return rows.repartitionByRange(START, F.xxhash64("key")).sortWithinPartitions(START)
+
+
 def merge(spark: SparkSession, path: str, batch_id: int, layout: Layout, combine: Combine, over: Over) -> int:
     """Bring everything up to trigger ``batch_id`` together; returns the merge before, -1 for none.
 
@@ -134,13 +144,14 @@ def merge(spark: SparkSession, path: str, batch_id: int, layout: Layout, combine
     held = whole.withColumn("over", F.coalesce(over(whole), F.lit(False))).persist()
     name = batch_path(part_path(path, layout.merged), batch_id)
     try:
-        held.where(~F.col("over")).drop("over").write.mode("overwrite").parquet(batch_path(base_path, batch_id))
+        still = _by_start(held.where(~F.col("over")).drop("over"))
+        still.write.mode("overwrite").parquet(batch_path(base_path, batch_id))
         if START in whole.columns:
             done = held.where("over").drop("over")
             ends = done.agg(F.min(START), F.max(START)).first()
             if ends[0] is not None:
                 target = batch_path(part_path(path, layout.closed), batch_id)
-                done.write.mode("overwrite").parquet(target)
+                _by_start(done).write.mode("overwrite").parquet(target)
                 name = f"{name}-{ends[0]}-{ends[1]}"
     finally:
         held.unpersist()

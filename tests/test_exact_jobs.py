@@ -2,6 +2,7 @@
 
 import math
 
+import pyarrow.parquet as pq
 import pytest
 
 from records import BASE_MS, fold_steps, frame_of, late_offsets, observation, pairs, random_observations, valid
@@ -48,6 +49,9 @@ def test_merging_keeps_the_table_and_bounds_the_folders(spark, tmp_path):
     for batch_id, (low, high) in ((b, r) for b, r in merged.items() if r):
         starts = {r[START] for r in spark.read.parquet(f"{path}/closed/batch_id={batch_id}").collect()}
         assert (min(starts), max(starts)) == (low, high)
+    for file in (tmp_path / "t/base/batch_id=7").glob("*.parquet"):
+        starts = pq.read_table(file).column(START).to_pylist()
+        assert starts == sorted(starts)
     early = ledger.read_rows(spark, path, Range(BASE_MS, BASE_MS)).inputFiles()
     assert not any("/closed/" in f for f in early)
     want = pairs(count_by_window(valid(spark, kept_rows(rows))), *COUNT)
