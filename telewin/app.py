@@ -49,6 +49,7 @@ def parser() -> argparse.ArgumentParser:
         for name in ("--key-reader-schema", "--value-reader-schema"):
             one.add_argument(name, type=lambda path: Path(path).read_text())
         one.add_argument("--exact", action="store_true", help="late records and NaN as in a replay")
+        one.add_argument("--every-record", action="store_true", help="with --exact: an update for each record")
         one.add_argument("--partitions", type=int, help="partitions of the input topic")
         one.add_argument("--merge-every", type=int, default=settings.merge_every)
         one.add_argument("--rekeyed-key-schema", type=id_and_schema)

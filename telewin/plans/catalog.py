@@ -5,6 +5,7 @@ its offset, time, paths and reading.
 """
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -26,6 +27,7 @@ from telewin.plans import device_counts, window_max
 from telewin.settings import CountSettings, MaxSettings
 from telewin.sources import tables
 from telewin.streaming import ledger, stores
+from telewin.streaming.merged import batches_in, read_batches
 from telewin.streaming.run import finish, use_stream_settings
 from telewin.streaming.tables import read_latest, read_updates, to_table, write_batch
 from telewin.streaming.topics import read_topic_rows, topic_rows
@@ -488,6 +490,45 @@ def exact_job_counts_1m(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown[0].unionByName(shown[1])
 
 
+def exact_job_updates_count_by_ep_1m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact count after each record, over restarts and a merge."""
+    base = work_dir(spark, "exact-steps")
+
+    def emit(rows: DataFrame, batch_id: int) -> None:
+        write_batch(rows, f"{base}/steps", batch_id)
+
+    how = {"emit": emit, "every_record": True, "merge_every": 2}
+    exact(spark, sf_dir, partial(ledger.count_exactly, **how), late_records, MINUTE_MS)
+    steps = read_batches(spark, f"{base}/steps", batches_in(spark, f"{base}/steps"))
+    return steps.select(ep().alias("ep"), START, END, "off", "n")
+
+
+def exact_job_updates_max_by_ep_path_30s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact winner after each record, NaN readings included, over restarts and a merge."""
+    base = work_dir(spark, "exact-steps")
+
+    def emit(rows: DataFrame, batch_id: int) -> None:
+        write_batch(rows, f"{base}/steps", batch_id)
+
+    def rows_of(events: DataFrame) -> DataFrame:
+        return rekey_by_resource(valid_records(with_nan(tables.observations(events))))
+
+    how = {"emit": emit, "every_record": True, "merge_every": 2}
+    exact(spark, sf_dir, partial(ledger.max_exactly, **how), rows_of, HALF_MINUTE_MS)
+    steps = mark_max(read_batches(spark, f"{base}/steps", batches_in(spark, f"{base}/steps")))
+    number = record.numeric_value(F.col("value"))
+    return steps.select(
+        ep().alias("ep_path"),
+        START,
+        END,
+        "off",
+        "best_off",
+        F.isnan(number).alias("best_is_nan"),
+        F.nanvl(number, F.lit(-1.0)).alias("best_v_or_minus_one"),
+        *marked_paths(),
+    )
+
+
 def exact_job_publish_max_30s(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the exact max job has published, by the last record of each windowed key, and the partition of it."""
     base = work_dir(spark, "exact-max")
@@ -615,4 +656,6 @@ QUERIES: dict[str, Query] = {
     "stream_max_by_ep_path_30s_nan_replay": stream_max_by_ep_path_30s_nan_replay,
     "exact_job_counts_1m": exact_job_counts_1m,
     "exact_job_publish_max_30s": exact_job_publish_max_30s,
+    "exact_job_updates_count_by_ep_1m": exact_job_updates_count_by_ep_1m,
+    "exact_job_updates_max_by_ep_path_30s": exact_job_updates_max_by_ep_path_30s,
 }

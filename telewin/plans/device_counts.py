@@ -59,7 +59,13 @@ def start_exact(
     for level, rows, part, arrived in levels:
         name = f"{settings.name}-{level}"
         base = job_checkpoint(spark, settings.checkpoint, name)
-        how = {"arrived": arrived, "emit": emit(level), "merge_every": settings.merge_every, **run}
+        how = {
+            "arrived": arrived,
+            "emit": emit(level),
+            "merge_every": settings.merge_every,
+            "every_record": settings.every_record,
+            **run,
+        }
         queries.append(
             ledger.count_exactly(rows, settings.window_ms, f"{base}/table", name, f"{base}/progress", part, **how)
         )

@@ -274,6 +274,12 @@ select 'ep' as level, * rename (ep as name) from ({_LATE_EP})
 union all
 select 'ep_path' as level, * rename (ep_path as name)
 from ({_count("ep_path", "flagged", _late_hashed(MINUTE_MS), "not late")})""",
+    "exact_job_updates_count_by_ep_1m": f"""with {_late(MINUTE_MS, "part")}
+select ep, {_bounds(MINUTE_MS)}, off,
+       count(*) over (partition by ep, ts_ms // {MINUTE_MS} order by off
+                      rows between unbounded preceding and current row) as n
+from flagged where not late""",
+    "exact_job_updates_max_by_ep_path_30s": _NAN_UPDATES,
     "exact_job_publish_max_30s": _best(
         "flagged",
         _late_hashed(HALF_MINUTE_MS),

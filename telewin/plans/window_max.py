@@ -76,6 +76,9 @@ def start_exact(
     base = job_checkpoint(spark, settings.checkpoint, settings.name)
 
     def emit_rows(winners: DataFrame, batch_id: int) -> None:
+        if settings.every_record:
+            # The updates of a key leave one task in the order of their records.
+            winners = winners.repartition("key").sortWithinPartitions("off", "part")
         emit(output_rows(mark_max(winners), settings), batch_id)
 
     return ledger.max_exactly(
@@ -88,6 +91,7 @@ def start_exact(
         arrived=arrival_of(obs),
         emit=emit_rows,
         merge_every=settings.merge_every,
+        every_record=settings.every_record,
         **run,
     )
 

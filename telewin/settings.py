@@ -35,6 +35,8 @@ class JobSettings:
     partitions: int | None = None
     # Registry id and schema text of the re-keyed keys, which decide their partition; empty means JSON.
     rekeyed_key_schema: tuple[int, str] | None = None
+    # With ``exact``: one update for each record, instead of one for each window and trigger.
+    every_record: bool = False
     # Triggers between merges of an exact table.
     merge_every: int = 360
 

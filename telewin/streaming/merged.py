@@ -95,21 +95,28 @@ def merges(spark: SparkSession, path: str, layout: Layout) -> dict[int, Range |
     return out
 
 
-def read_rows(spark: SparkSession, path: str, layout: Layout, wanted: Range | None = None) -> DataFrame:
-    """The kept rows of all triggers, each with the trigger it counts from.
+def read_rows(
+    spark: SparkSession,
+    path: str,
+    layout: Layout,
+    wanted: Range | None = None,
+    before: int | None = None,
+) -> DataFrame | None:
+    """The kept rows of all triggers, each with the trigger it counts from; none if there was no trigger.
 
     With ``wanted``, only those of windows that start there; files of other closed windows are not looked at.
+    With ``before``, only those of earlier triggers than this one, which is not before the last merge but one.
     """
-    merged = merges(spark, path, layout)
+    merged = {b: r for b, r in merges(spark, path, layout).items() if before is None or b < before}
     base = max(merged, default=-1)
-    later = [b for b in batches_in(spark, part_path(path, layout.rows)) if b > base]
+    later = [b for b in batches_in(spark, part_path(path, layout.rows)) if b > base and (before is None or b < before)]
     closed = [
         b for b, r in merged.items() if r and (wanted is None or (r.low <= wanted.high and wanted.low <= r.high))
     ]
     parts = [(layout.rows, later), (layout.base, [base] if merged else []), (layout.closed, closed)]
     read = [read_batches(spark, part_path(path, part), ids) for part, ids in parts if ids]
     if not read:
-        raise ValueError(f"no trigger has written to {path} yet")
+        return None
     whole = read[0]
     for more in read[1:]:
         whole = whole.unionByName(more)

@@ -70,7 +70,10 @@ def read_updates(spark: SparkSession, path: str, schema: StructType | None = Non
     """
     if schema is not None and not batches_in(spark, path):
         return spark.createDataFrame([], StructType([*schema.fields, StructField(BATCH, LongType())]))
-    return merged.read_rows(spark, path, LAYOUT)
+    rows = merged.read_rows(spark, path, LAYOUT)
+    if rows is None:
+        raise ValueError(f"no trigger has written to {path} yet")
+    return rows
 
 
 def read_latest(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:

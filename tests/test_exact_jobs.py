@@ -175,6 +175,30 @@ def test_a_stream_merges_its_update_table(spark, tmp_path):
     assert pairs(read_latest(spark, path), *COUNT) == pairs(count_by_window(valid(spark, rows)), *COUNT)
 
 
+def test_an_update_for_each_record(spark, tmp_path):
+    """Every record's update, over merges and a trigger that runs again after its merge."""
+    rows, path = random_observations(48, n=240, nan=0.05, missing=0.03), f"{tmp_path}/t"
+    steps, _ = fold_steps(rows, HALF_MINUTE_MS)
+    got, counts, seen = {}, {}, {}
+
+    def emit(updates, batch_id):
+        got.update({r.off: r.best_off for r in updates.collect()})
+
+    def emit_counts(updates, batch_id):
+        counts.update({r.off: r.n for r in updates.collect()})
+
+    for batch_id, piece in enumerate(in_pieces(rows, 6)):
+        for _ in range(2):
+            how = {"merge_every": 2, "every_record": True}
+            trigger(spark, path, batch_id, piece, ledger.MAXIMA, HALF_MINUTE_MS, emit=emit, **how)
+            trigger(spark, f"{path}-n", batch_id, piece, size_ms=HALF_MINUTE_MS, emit=emit_counts, **how)
+    assert got == dict(steps)
+    for r in rows:
+        window = (r.key.ep, r.value.timestamp // HALF_MINUTE_MS)
+        seen[window] = seen.get(window, 0) + 1
+        assert counts[r.off] == seen[window]
+
+
 def test_reading_before_any_trigger_says_so(spark, tmp_path):
     with pytest.raises(ValueError, match="no trigger"):
         ledger.read_rows(spark, f"{tmp_path}/t")
