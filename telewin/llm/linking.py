@@ -67,7 +67,9 @@ def still_open(members: DataFrame, comps: DataFrame) -> DataFrame:
     """``members`` (``band``, ``rep`` and more) with ``root``, of the buckets that hold several components."""
     placed = members.join(comps, "rep", "left").select(*members.columns, F.coalesce("root", "rep").alias("root"))
     roots = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    return placed.join(roots.select("band"), "band", "left_semi")
+    # Written, so that the join has an exchange on both sides and large buckets can be split.
+    several = stage(roots.select("band"), name="llm-several").sized()
+    return placed.join(several, "band", "left_semi")
 
 
 def centers_of(live: DataFrame, stars: int, turn: int, columns: list[str] = ()) -> DataFrame:
