@@ -98,7 +98,8 @@ def _rings(keyed: DataFrame, ring_rows: int) -> DataFrame:
     ringed = keyed.join(F.broadcast(sizes), "pivot").select("row", "vec_id", "v", "d", "pivot", at.alias("at"))
     cuts = ringed.groupBy("pivot", "at").agg(F.ceil(F.count(F.lit(1)) / F.lit(ring_rows)).alias("cuts"))
     cut = F.pmod(F.xxhash64("row"), F.col("cuts"))
-    return ringed.join(cuts, ["pivot", "at"]).select("pivot", "at", cut.alias("cut"), "row", "vec_id", "v", "d")
+    # One row for each ring of a pivot; joined without an exchange, so that the cuts of a ring are dealt apart.
+    return ringed.join(F.broadcast(cuts), ["pivot", "at"]).select("pivot", "at", cut.alias("cut"), "row", "vec_id", "v", "d")
 
 
 def _blocks(rows: DataFrame, keys: list[str], dims: int) -> DataFrame:
