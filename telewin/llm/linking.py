@@ -1,4 +1,4 @@
-"""What joins of similar texts share: shingle sets, buckets held against centers, confirmation, classes."""
+"""Steps of a join of similar texts: shingle sets, buckets held against centers, confirmation, classes."""
 
 from __future__ import annotations
 
@@ -68,7 +68,7 @@ def still_open(members: DataFrame, comps: DataFrame) -> DataFrame:
     placed = members.join(comps, "rep", "left").select(*members.columns, F.coalesce("root", "rep").alias("root"))
     roots = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
     # Written, so that the join has an exchange on both sides and large buckets can be split.
-    several = stage(roots.select("band"), name="llm-several").sized()
+    several = written(roots.select("band"), "several")
     return placed.join(several, "band", "left_semi")
 
 
