@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import linking
 from .shared import written
@@ -176,24 +176,6 @@ def _near(outsiders: list[np.ndarray], members: list[np.ndarray], percent: int)
     return o_rep[i[good]], rep[j[good]]
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of keys that come in order (``band``, ``rep``), those that are not alone. One row is held back at a time."""
-    band, rep, known = np.zeros(0, np.int64), np.zeros(0, np.int64), False
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        band = np.concatenate([band, batch.column(0).to_numpy()])
-        rep = np.concatenate([rep, batch.column(1).to_numpy()])
-        again = band[1:] == band[:-1]
-        shared = np.concatenate([[known], again]) | np.concatenate([again, [False]])
-        keep = np.flatnonzero(shared[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(band[keep]), pa.array(rep[keep])], names=["band", "rep"])
-        known = bool(shared[-1])
-        band, rep = band[-1:], rep[-1:]
-    if known:
-        yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(rep)], names=["band", "rep"])
-
-
 def linked(docs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
     """``rep, root`` for the least documents of the distinct sets that have a link to another set."""
     spark = docs.sparkSession
@@ -205,7 +187,7 @@ def linked(docs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
     # What is called a band in ``linking`` is a bucket here: one word of the sketches of a band.
     keys = bands.select("rep", "in_band", F.posexplode("words").alias("at", "word"))
     keys = keys.select(F.xxhash64("in_band", "at", "word").alias("band"), "rep")
-    shared = keys.repartition("band").sortWithinPartitions("band").mapInArrow(_met, "band long, rep long")
+    shared = keys.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("band"))).where("met > 1").drop("met")
     # Only what is left of the keys gets the sizes and the own bands of its documents.
     sizes = reps.select("rep", "n", F.col("band").alias("in_band"))
     members = written(written(shared, "shared").join(sizes, "rep"), "members")

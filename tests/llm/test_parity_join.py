@@ -4,7 +4,6 @@ import random
 import re
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
 from telewin.llm import linking, parity_join
@@ -134,14 +133,3 @@ def test_near_keeps_what_sizes_and_sketches_allow():
     }
     assert 0 < len(want) < rows * (rows - 1)
     assert set(zip(*(x.tolist() for x in parity_join._near(side, side, 85)))) == want
-
-
-@pytest.mark.parametrize("size", [1, 2, 3, 7, 100])
-def test_keys_that_meet_are_kept_over_batches(size):
-    dice = np.random.default_rng(size)
-    band = np.sort(dice.integers(0, 60, 100))
-    rows = pa.RecordBatch.from_arrays([pa.array(band), pa.array(np.arange(100))], names=["band", "rep"])
-    pieces = [rows.slice(i, size) for i in range(0, 100, size)] + [rows.slice(0, 0)]
-    got = [x for b in parity_join._met(iter(pieces)) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-    assert got == [(int(b), i) for i, b in enumerate(band) if (band == b).sum() > 1]
-    assert list(parity_join._met(iter([]))) == []
