@@ -7,6 +7,8 @@ stays below 2**63.
 
 from pyspark.sql import Column, functions as F
 
+from telewin.functions.bound import bound
+
 # Fixed values of the hash.
 SEED = 0x9747B28C
 MULTIPLIER = 0x5BD1E995
@@ -25,38 +27,48 @@ def _folded(number: Column, bits: int) -> Column:
     return number.bitwiseXOR(F.shiftright(number, bits))
 
 
-def _little_endian(data: Column, first: Column | int, n_bytes: int | Column) -> Column:
-    """Bytes from place ``first`` (from 0) as a number, the first byte being the least."""
-    places = F.sequence(F.lit(1), F.lit(n_bytes) if isinstance(n_bytes, int) else n_bytes)
-    digits = F.transform(F.reverse(places), lambda i: F.hex(F.substring(data, first + i, F.lit(1))))
-    return F.conv(F.array_join(digits, ""), 16, 10).cast("bigint")
+def _word(digits: Column, i: Column) -> Column:
+    """Four bytes, from their hex digits, as a number, the first byte being the greatest."""
+    return F.conv(F.rpad(F.substring(digits, F.shiftleft(i, 3) + 1, F.lit(8)), 8, "0"), 16, 10).cast("bigint")
+
+
+def _swapped(number: Column) -> Column:
+    """The four bytes of a number in the opposite order."""
+    low = F.shiftleft(number.bitwiseAND(F.lit(0xFF)), 24) + F.shiftleft(number.bitwiseAND(F.lit(0xFF00)), 8)
+    high = F.shiftright(number, 8).bitwiseAND(F.lit(0xFF00)) + F.shiftright(number, 24)
+    return low + high
 
 
 def murmur2(data: Column) -> Column:
-    """The hash of bytes as an unsigned 32-bit number; null for null."""
-    length = F.length(data)
-    words = F.floor(length / 4).cast("int")
-    rest = length - words * 4
-
-    def with_word(hashed: Column, i: Column) -> Column:
-        word = _times(_folded(_times(_little_endian(data, i * 4, 4)), SHIFT))
-        return _times(hashed).bitwiseXOR(word)
-
-    each = F.when(words > 0, F.sequence(F.lit(0), words - 1)).otherwise(F.array().cast("array<int>"))
-    start = F.lit(SEED).cast("bigint").bitwiseXOR(length.cast("bigint"))
-    hashed = F.aggregate(each, start, with_word)
-
-    def finished(number: Column) -> Column:
-        """The bytes after the last whole word, and the last mixing; the number is written out once."""
-        tail = _times(number.bitwiseXOR(_little_endian(data, words * 4, F.greatest(rest, F.lit(1)))))
-        return F.when(rest > 0, tail).otherwise(number)
-
-    def mixed(number: Column) -> Column:
-        return _folded(_times(_folded(number, LAST_SHIFTS[0])), LAST_SHIFTS[1])
-
-    # One-element arrays keep each step from being repeated inside the next.
-    steps = F.transform(F.transform(F.array(hashed), finished), mixed)
-    return F.when(data.isNotNull(), F.get(steps, F.lit(0)))
+    """The hash of bytes as an unsigned 32-bit number; null for null.
+
+    The hex digits of the bytes and each step are bound before they are named again, so that a key is
+    encoded once for all its words.
+    """
+
+    def hashed(digits: Column) -> Column:
+        length = F.shiftright(F.length(digits), 1)
+        words = F.shiftright(length, 2)
+        each = F.when(words > 0, F.sequence(F.lit(0), words - 1)).otherwise(F.array().cast("array<int>"))
+        numbers = F.transform(each, lambda i: _word(digits, i))
+        numbers = F.transform(numbers, lambda number: _times(_swapped(number)))
+
+        def with_word(so_far: Column, number: Column) -> Column:
+            return _times(so_far).bitwiseXOR(_times(_folded(number, SHIFT)))
+
+        start = F.lit(SEED).cast("bigint").bitwiseXOR(length.cast("bigint"))
+        whole = F.aggregate(numbers, start, with_word)
+
+        def finished(number: Column) -> Column:
+            """The bytes after the last whole word."""
+            tail = bound(_word(digits, words), lambda rest: _times(number.bitwiseXOR(_swapped(rest))))
+            return F.when(length > F.shiftleft(words, 2), tail).otherwise(number)
+
+        last = bound(whole, finished)
+        last = bound(last, lambda number: _times(_folded(number, LAST_SHIFTS[0])))
+        return bound(last, lambda number: _folded(number, LAST_SHIFTS[1]))
+
+    return bound(F.hex(data), hashed)
 
 
 def key_partition(key_bytes: Column, partitions: int) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, functions as F, types as T
 
 from telewin import schema
 from telewin.functions import frame, record
+from telewin.functions.bound import bound
 
 # Branch names Spark gives to Avro union members under this option.
 AVRO_OPTIONS = {"enableStableIdentifiersForUnionType": "true"}
@@ -135,19 +136,22 @@ def _json_mode(on_bad: str) -> dict[str, str]:
 
 def split_number(number: Column) -> Column:
     """A JSON value as ``lng`` (whole numbers) or ``dbl``; any other value is kept as ``other``."""
-    kind = F.schema_of_variant(number)
-    whole = kind == "BIGINT"
-    # JSON has no spelling for NaN and infinities; they are written as these texts.
-    odd = (kind == "STRING") & F.try_variant_get(number, "$", "string").isin(*NOT_FINITE)
-    odd = F.coalesce(odd, F.lit(False))
-    real = kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT") | odd
-    return F.struct(
-        F.when(whole, F.try_variant_get(number, "$", "bigint")).alias("lng"),
-        F.when(odd, F.try_variant_get(number, "$", "string").try_cast("double"))
-        .when(real, F.try_variant_get(number, "$", "double"))
-        .alias("dbl"),
-        F.when(~whole & ~real, number).alias("other"),
-    )
+
+    def split(kind: Column) -> Column:
+        whole = kind == "BIGINT"
+        # JSON has no spelling for NaN and infinities; they are written as these texts.
+        odd = (kind == "STRING") & F.try_variant_get(number, "$", "string").isin(*NOT_FINITE)
+        odd = F.coalesce(odd, F.lit(False))
+        real = kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT") | odd
+        return F.struct(
+            F.when(whole, F.try_variant_get(number, "$", "bigint")).alias("lng"),
+            F.when(odd, F.try_variant_get(number, "$", "string").try_cast("double"))
+            .when(real, F.try_variant_get(number, "$", "double"))
+            .alias("dbl"),
+            F.when(~whole & ~real, number).alias("other"),
+        )
+
+    return bound(F.schema_of_variant(number), split)
 
 
 def from_json_response(
@@ -157,9 +161,12 @@ def from_json_response(
 
     ``shape`` may name further fields to carry along.
     """
-    parsed = F.from_json(data.cast("string"), shape, _json_mode(on_bad))
-    number = parsed.getField("rep").getField("body").getField("content").getField("value")
-    return parsed.withField(f"{record.RESOURCE_FIELD}.value", split_number(number))
+
+    def with_reading(parsed: Column) -> Column:
+        number = parsed.getField("rep").getField("body").getField("content").getField("value")
+        return parsed.withField(f"{record.RESOURCE_FIELD}.value", split_number(number))
+
+    return bound(F.from_json(data.cast("string"), shape, _json_mode(on_bad)), with_reading)
 
 
 def to_json_response(value: Column, has_other: bool = False) -> Column:
@@ -190,8 +197,10 @@ def from_json_key(
         return F.from_json(data.cast("string"), shape, _json_mode(on_bad))
     watched = T.StructType([*shape.fields, T.StructField(_CORRUPT, T.StringType())])
     options = {**_json_mode(on_bad), "columnNameOfCorruptRecord": _CORRUPT}
-    parsed = F.from_json(data.cast("string"), watched, options)
-    return F.when(parsed.getField(_CORRUPT).isNull(), parsed.dropFields(_CORRUPT))
+    return bound(
+        F.from_json(data.cast("string"), watched, options),
+        lambda parsed: F.when(parsed.getField(_CORRUPT).isNull(), parsed.dropFields(_CORRUPT)),
+    )
 
 
 def to_json_key(key: Column) -> Column:

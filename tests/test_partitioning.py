@@ -11,6 +11,7 @@ from telewin.operators.records import rekey_by_resource, with_rekeyed_partition
 from telewin.plans import window_max
 from telewin.plans.source import rekeyed
 from telewin.settings import CountSettings
+from telewin.sources.payloads import to_json_key
 from telewin.streaming.topics import topic_rows
 
 # Published values of the hash, as signed numbers.
@@ -72,3 +73,9 @@ def test_rekeyed_records_are_dealt_by_the_new_key(spark):
     assert all(r.p == (plain(r.key.ep.encode()) & 0x7FFFFFFF) % 6 for r in own.collect())
     with pytest.raises(ValueError, match="partitions"):
         rekeyed(obs, CountSettings())
+
+
+def test_a_key_is_encoded_once_for_its_hash(spark):
+    obs = rekey_by_resource(valid(spark, [observation(0, BASE_MS, lng=1)]))
+    plan = obs.select(key_partition(to_json_key(F.col("key")), 4))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("StructsToJson") == 1

@@ -2,8 +2,9 @@
 
 import pytest
 
-from telewin.plans.catalog import QUERIES, valid
-from telewin.streaming.topics import topic_rows
+from telewin.plans.catalog import QUERIES, SLICES, run_in_slices, valid
+from telewin.sources.tables import read_events
+from telewin.streaming.topics import read_topic_rows, topic_rows
 from telewin.plans.window_max import window_max
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -103,3 +104,24 @@ def test_publishing_adds_no_shuffle(spark):
     assert plan_of(topic_rows(winners, "out", 8)).count("Exchange") == plan_of(winners).count(
         "Exchange"
     )
+
+
+def test_published_rows_are_parsed_once(spark):
+    rows = spark.createDataFrame([], "key binary, value binary")
+    assert plan_of(read_topic_rows(rows, 30_000)).count("from_json(") == 2
+
+
+def test_slices_of_the_log_are_dealt_over_tasks(spark, tmp_path):
+    """One input file makes one reading task; a slice of it has as many files as there are shuffle partitions."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        run_in_slices(spark, SF_DIR, f"{tmp_path}", lambda events: [])
+    finally:
+        spark.conf.set(name, old)
+    log, events = spark.read.parquet(f"{tmp_path}/log"), read_events(spark, SF_DIR)
+    per_file = log.groupBy(log["_metadata.file_path"]).count().collect()
+    assert len(per_file) == SLICES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert max(r["count"] for r in per_file) < log.count() / SLICES / 2
+    assert sorted(log.collect()) == sorted(events.collect())
